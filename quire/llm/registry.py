@@ -5,6 +5,7 @@ import importlib
 #: operator number and name -> module
 OPERATORS = {
     "op2_mixing": "mixing",
+    "op3_minhash": "minhash",
     "op5_sharding": "sharding",
     "op7_url_filter": "url_filter",
 }
