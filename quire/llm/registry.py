@@ -6,6 +6,7 @@ import importlib
 OPERATORS = {
     "op2_mixing": "mixing",
     "op3_minhash": "minhash",
+    "op4_toxicity": "toxicity",
     "op5_sharding": "sharding",
     "op7_url_filter": "url_filter",
 }
