@@ -9,6 +9,7 @@ OPERATORS = {
     "op4_toxicity": "toxicity",
     "op5_sharding": "sharding",
     "op7_url_filter": "url_filter",
+    "op8_html_extraction": "html_text",
 }
 
 
