@@ -8,6 +8,7 @@ OPERATORS = {
     "op3_minhash": "minhash",
     "op4_toxicity": "toxicity",
     "op5_sharding": "sharding",
+    "op6_pii": "pii",
     "op7_url_filter": "url_filter",
     "op8_html_extraction": "html_text",
 }
