@@ -11,6 +11,7 @@ OPERATORS = {
     "op6_pii": "pii",
     "op7_url_filter": "url_filter",
     "op8_html_extraction": "html_text",
+    "op9_vector_dedup": "vector_dedup",
 }
 
 
