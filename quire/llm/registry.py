@@ -12,6 +12,7 @@ OPERATORS = {
     "op7_url_filter": "url_filter",
     "op8_html_extraction": "html_text",
     "op9_vector_dedup": "vector_dedup",
+    "op10_hamming_search": "hamming",
 }
 
 
