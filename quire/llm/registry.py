@@ -4,6 +4,7 @@ import importlib
 
 #: operator number and name -> module
 OPERATORS = {
+    "op1_sentencepiece": "sentencepiece_codec",
     "op2_mixing": "mixing",
     "op3_minhash": "minhash",
     "op4_toxicity": "toxicity",
