@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-quire-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def passing(docs: DataFrame, needed: list[str]):
+    """docs with all columns but the needed ones renamed out of the way, and a function that gives a
+    result of such rows the columns of docs again, by name and order."""
+    names = {c: c if c in needed else f"_passed_{i}" for i, c in enumerate(docs.columns)}
+    safe = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    return safe, lambda df: df.select(*[df[n].alias(c) for c, n in names.items()])

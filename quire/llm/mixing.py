@@ -12,15 +12,14 @@ hash buckets (or ranges of virtual time), over the totals of the buckets before.
 
 Edge cases: null or empty texts have size 0 and are taken with 0 words; null sources are one
 source, the last. Repeated rows are documents of their own. Where no source has a word, all
-targets are 0. An empty table gives no rows. Other columns pass through mix(); those named _*
-or doc_copy, words, position are overwritten.
+targets are 0. An empty table gives no rows. Other columns pass through mix().
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.common import SPACE, WORD, cut, table
+from quire.llm.common import SPACE, WORD, cut, passing, table
 
 WEIGHTS, FRACTION, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: A table of so many sources at most is broadcast; a larger one is joined by a shuffle.
@@ -95,25 +94,24 @@ def in_virtual_time(each: DataFrame, budget: int, n_ranges: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: a row for each turn that is taken, with the columns of docs and doc_copy,
-    words and position. A text that is taken in part ends after so many words.
+    """The mixed corpus, range-sorted by its order: the rows of docs, once for each turn that is taken.
+    A text that is taken in part ends after so many words, and n_chars (if there) is renewed.
 
-    The queue is computed on narrow rows; texts are shuffled once, to meet their turns. Rows that
-    are alike in doc_id and content are told apart by number only.
+    The queue is computed on narrow rows; texts are shuffled once to meet their turns, and once into
+    order. Rows alike in doc_id, source and text meet the turns of all of them.
     """
-    content = F.xxhash64(*[c for c in docs.columns if c != "doc_id"])
-    same = F.row_number().over(W.partitionBy("doc_id", "_content").orderBy(F.lit(0)))
-    narrow = cut(docs.select("doc_id", "source", n_words("text").alias("size"), content.alias("_content")))
-    taken = turns(narrow, **how).filter("words > 0")
-    taken = taken.select("doc_id", "_content", "doc_copy", "words", "position", "size").withColumn(
-        "_same", F.row_number().over(W.partitionBy("doc_id", "_content", "doc_copy").orderBy("position")))
-    whole = docs.withColumn("_content", content).withColumn("_same", same)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    whole, taken = whole.withColumn("_id", name), taken.withColumn("_id", name).drop("doc_id")
-    joined = whole.join(taken, ["_id", "_content", "_same"])
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns, "doc_copy", "words", "position")
+    rows, back = passing(docs, ["doc_id", "source", "text", "n_chars"])
+    name, content = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("source", "text", F.col("doc_id").isNull())
+    narrow = cut(rows.select("doc_id", "source", n_words("text").alias("size"), content.alias("_content")))
+    taken = turns(narrow, **how).filter("words > 0").select(
+        name.alias("_id"), "_content", F.when(F.col("words") < F.col("size"), F.col("words")).alias("_part"), F.col("position").alias("_position"))
+    texts = rows.withColumns({"_id": name, "_content": content}).dropDuplicates(["_id", "_content"])
+    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_part").cast("int")), "")
+    mixed = texts.join(taken, ["_id", "_content"]).withColumn("text", F.when(F.col("_part").isNotNull(), begun).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        mixed = mixed.withColumn("n_chars", F.when(F.col("_part").isNotNull(), chars).otherwise(F.col("n_chars")))
+    return back(mixed.repartitionByRange("_position").sortWithinPartitions("_position"))
 
 
 def op2_mixing(spark, sf_dir):

@@ -18,7 +18,9 @@ OPERATORS = {
 
 
 def queries():
-    return {name: getattr(importlib.import_module(f"quire.llm.{module}"), name) for name, module in OPERATORS.items()}
+    found = {name: getattr(importlib.import_module(f"quire.llm.{module}"), name) for name, module in OPERATORS.items()}
+    # The pipeline lies beside the package and counts as part of this subpackage.
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quire.llm.common import cut, table
+from quire.llm.common import cut, passing, table
 
 #: Bounds on what is learned from: labelled rows, and rows of each class for the stems.
 MAX_TRAIN, MAX_STEM_ROWS = 20_000, 4_000
@@ -203,22 +203,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float], f
     return stems, model.coefficients.toArray().tolist(), float(model.intercept)
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[float], float], columns: list[str]) -> DataFrame:
-    """docs' columns and score, 0 to 1."""
+def score(docs: DataFrame, model: tuple[list[str], list[float], float], columns: list[str], name: str = "score") -> DataFrame:
+    """docs' columns and the score of the column text, 0 to 1, by the given name."""
     stems, weights, intercept = model
-    out = StructType([*docs.select(*columns).schema.fields]).add("score", DoubleType())
+    out = StructType([*docs.select(*columns).schema.fields]).add(name, DoubleType())
+    extra = [] if "text" in columns else [F.col("text").alias("_text")]
 
     def run(batches):
         grammar, w = Grammar(stems), np.array(weights)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column("_text" if extra else "text")
             scores = []
             for at in range(0, len(texts), 256):
                 x = np.array([grammar.features(t) for t in texts.slice(at, 256).to_pylist()])
                 scores.append(1 / (1 + np.exp(-np.clip(x @ w + intercept, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=out.names)
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*columns, *extra).mapInArrow(run, out)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs without those that score least or more, by a model learned from the labels of docs."""
+    rows, back = passing(docs, ["doc_id", "text"])
+    return back(score(rows, learn(rows, labels), rows.columns, "_toxicity").filter(F.col("_toxicity") < least))
 
 
 def op4_toxicity(spark, sf_dir):
