@@ -4,7 +4,7 @@ import importlib
 
 from quire.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "joins")
+MODULES = ("tables", "joins", "metrics")
 
 
 def load() -> tuple[dict, dict]:
