@@ -89,5 +89,5 @@ def claims_within_ttl(claims: DataFrame) -> DataFrame:
     """
     listed = claims.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "ttl"))).alias("all"))
     start = F.struct(F.lit(None).cast("long").alias("until"), F.expr("cast(array() as array<bigint>)").alias("won"))
-    fold = F.aggregate("all", start, lambda a, c: F.when(a["until"].isNull() | (c["at"] >= a["until"]), F.struct((c["at"] + c["ttl"]).alias("until"), F.concat(a["won"], F.array(c["id"])).alias("won"))).otherwise(a))
+    fold = F.aggregate("all", start, lambda a, c: F.when(a["until"].isNull() | (c["at"] >= a["until"]), F.named_struct(F.lit("until"), c["at"] + c["ttl"], F.lit("won"), F.concat(a["won"], F.array(c["id"])))).otherwise(a))
     return listed.select("key", F.explode("all").alias("c"), fold["won"].alias("won")).select("key", F.col("c.id").alias("id"), F.array_contains("won", F.col("c.id")).alias("won"))

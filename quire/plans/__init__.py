@@ -4,7 +4,7 @@ import importlib
 
 from quire.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "joins", "metrics")
+MODULES = ("tables", "joins", "metrics", "values", "states")
 
 
 def load() -> tuple[dict, dict]:
