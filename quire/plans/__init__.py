@@ -4,7 +4,7 @@ import importlib
 
 from quire.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "joins", "metrics", "values", "states")
+MODULES = ("tables", "joins", "metrics", "values", "states", "streams")
 
 
 def load() -> tuple[dict, dict]:
