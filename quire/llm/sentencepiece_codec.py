@@ -116,10 +116,9 @@ class Model:
 
         unknown = next((p for p, _, kind in self.pieces if kind == UNKNOWN), None)
         if self.kind == UNIGRAM:
-            ids = [p for p, _, _ in self.pieces]
-            # Control and unused pieces never match text.
-            vocab = [(p, s if kind in (NORMAL, USER, UNKNOWN, BYTE) else -1e6) for p, s, kind in self.pieces]
-            model = models.Unigram(vocab, unk_id=ids.index(unknown) if unknown is not None else None, byte_fallback=self.byte_fallback)
+            # Unknown, control and unused pieces get names that text does not match.
+            vocab = [(p if kind in (NORMAL, USER, BYTE) else f"\U0010fffd{i}\U0010fffd", s) for i, (p, s, kind) in enumerate(self.pieces)]
+            model = models.Unigram(vocab, unk_id=next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), None), byte_fallback=self.byte_fallback)
         elif self.kind == BPE:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=unknown, fuse_unk=True, byte_fallback=self.byte_fallback)
         else:

@@ -207,19 +207,19 @@ def score(docs: DataFrame, model: tuple[list[str], list[float], float], columns:
     """docs' columns and the score of the column text, 0 to 1, by the given name."""
     stems, weights, intercept = model
     out = StructType([*docs.select(*columns).schema.fields]).add(name, DoubleType())
-    extra = [] if "text" in columns else [F.col("text").alias("_text")]
+    source = "text" if "text" in columns else "_text"
 
     def run(batches):
         grammar, w = Grammar(stems), np.array(weights)
         for batch in batches:
-            texts = batch.column("_text" if extra else "text")
+            texts = batch.column(source)
             scores = []
             for at in range(0, len(texts), 256):
                 x = np.array([grammar.features(t) for t in texts.slice(at, 256).to_pylist()])
                 scores.append(1 / (1 + np.exp(-np.clip(x @ w + intercept, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=out.names)
 
-    return docs.select(*columns, *extra).mapInArrow(run, out)
+    return docs.select(*columns, *([] if source in columns else [F.col("text").alias(source)])).mapInArrow(run, out)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

@@ -132,7 +132,7 @@ def judge(pages: DataFrame, listed: Column, rules=RULES, max_bits: int = MAX_BIT
     universe = found.select("host").distinct().select(F.col("host").alias("key"), F.coalesce(listed, F.lit(False)).alias("listed"))
     cascade = build_cascade(universe, max_bits)
     if cascade is None:  # more listed keys than a plan should carry
-        found = found.join(universe.filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed")), "host", "left")
+        found = found.join(universe.filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed")), "host", "left").select(*found.columns, "_listed")
         is_listed = F.coalesce(F.col("_listed"), F.lit(False))
     else:
         is_listed = cascade.lists(F.col("host"))
