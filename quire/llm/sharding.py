@@ -2,11 +2,12 @@
 
 Every document starts in the shard of its id's hash. Documents of one text are linked. In each
 round, joins and aggregates find for every linked group the shard that holds most of it, and its
-other members ask to move there. A shard admits what it has room for: the requests are thinned
-by a hash to the free share of its quota, so nothing is ranked on one machine. The work of a
+other members ask to move there. A shard admits what it has room for, with what leaves it in
+return: the requests are thinned by a hash to that share, so nothing is ranked on one machine. The work of a
 round is on (group, first shard) pieces, at most n_shards of them a group however large it is.
 At last, documents in excess of a shard's exact quota (unlinked ones first) fill the gaps of
-others. The law is `rows`: counts are at most one apart.
+others. A group larger than a shard stays dealt out as it was. The law is `rows`: counts are at
+most one apart.
 
 Edge cases: null texts are one group, of size 1 each and checksum 0; empty texts are another.
 Null or repeated doc_ids are documents of their own. An empty table gives no rows.
@@ -23,27 +24,40 @@ N_SHARDS, ROUNDS = 16, 4
 GROUP_BUCKETS, SUB_BUCKETS = 64, 64
 
 
+def admitted(load: dict[int, int], asked: dict[tuple[int, int], int], quota: int) -> dict[int, float]:
+    """The share of the requests (from, to) that each shard can admit, with what leaves it in return."""
+    share = dict.fromkeys(load, 1.0)
+    for _ in range(30):  # what leaves shrinks as others admit less, so shares only fall
+        for to in share:
+            wanted = sum(n for (_, t), n in asked.items() if t == to)
+            leaves = sum(n * share[t] for (s, t), n in asked.items() if s == to)
+            if wanted:
+                share[to] = min(share[to], max(0.0, quota - load[to] + leaves) / wanted)
+    return share
+
+
 def propagate(pieces: DataFrame, quota: int, n_shards: int, rounds: int) -> DataFrame:
-    """pieces: group, piece (first shard), n documents. Adds shard, after the rounds."""
+    """pieces: group, piece (first shard), n documents, of (the group's). Adds shard, after the rounds."""
     state = cut(pieces.withColumn("shard", F.col("piece")))
     for number in range(rounds):
         held = state.groupBy("group", "shard").agg(F.sum("n").alias("n"))
-        wanted = held.groupBy("group").agg(
-            F.max_by("shard", F.struct("n", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 30)))).alias("wanted"), F.sum("n").alias("of"))
+        wanted = held.groupBy("group").agg(F.max_by("shard", F.struct("n", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 30)))).alias("wanted"))
         asked = cut(state.join(wanted, "group"))
-        load = dict.fromkeys(range(n_shards), 0)
-        load |= {r.shard: r.n for r in asked.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
-        moves = {r.wanted: r.n for r in asked.filter("shard <> wanted").groupBy("wanted").agg(F.sum("n").alias("n")).collect()}
+        # A group that no shard can hold as a whole stays where it is; the others move around it.
+        flows = asked.withColumn("wanted", F.when(F.col("of") > quota, F.col("shard")).otherwise(F.col("wanted"))).groupBy("shard", "wanted").agg(F.sum("n").alias("n"))
+        load, moves = dict.fromkeys(range(n_shards), 0), {}
+        for r in flows.collect():  # n_shards * n_shards rows at most
+            load[r.shard] += r.n
+            if r.shard != r.wanted:
+                moves[r.shard, r.wanted] = r.n
         if not moves:
             break
         share = F.lit(0.0)
-        for to, n in moves.items():
-            share = F.when(F.col("wanted") == to, min(1.0, max(0, quota - load[to]) / n)).otherwise(share)
-        # A group that no shard can hold as a whole moves piece by piece, as much as fits.
-        large = F.col("of") > quota
-        drawn = F.pmod(F.xxhash64("group", F.when(large, F.col("piece")), F.lit(number)), F.lit(1 << 30)) / (1 << 30)
-        goes = drawn < F.when(large, share * quota / F.col("of")).otherwise(share)
-        state = cut(asked.select("group", "piece", "n", F.when(goes, F.col("wanted")).otherwise(F.col("shard")).alias("shard")))
+        for to, x in admitted(load, moves, quota).items():
+            share = F.when(F.col("wanted") == to, x).otherwise(share)
+        drawn = F.pmod(F.xxhash64("group", F.lit(number)), F.lit(1 << 30)) / (1 << 30)
+        goes = (F.col("of") <= quota) & (drawn < share)
+        state = cut(asked.select("group", "piece", "n", "of", F.when(goes, F.col("wanted")).otherwise(F.col("shard")).alias("shard")))
     return state
 
 
@@ -51,15 +65,16 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> D
     """docs: doc_id, size, text_crc32, group. One row per document, with shard and slot."""
     rows = cut(docs.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n_shards)).cast("int")))
     pieces = rows.groupBy("group", "piece").agg(F.count("*").alias("n"))
-    linked = pieces.groupBy("group").agg(F.sum("n").alias("of")).filter("of > 1").select("group")
+    linked = pieces.groupBy("group").agg(F.sum("n").alias("of")).filter("of > 1")
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    moved = propagate(pieces.join(linked, "group"), quota[0], n_shards, rounds).select("group", "piece", "shard")
+    moved = propagate(pieces.join(linked, "group"), quota[0], n_shards, rounds).select("group", "piece", "shard", (F.col("of") > quota[0]).alias("large"))
     labelled = cut(rows.join(moved, ["group", "piece"], "left").select(
         "doc_id", "size", "text_crc32",
         F.coalesce("shard", "piece").alias("shard"),
         F.xxhash64("doc_id", F.lit(7)).alias("draw"),
-        F.when(F.col("shard").isNull(), GROUP_BUCKETS).otherwise(F.pmod(F.xxhash64("group"), F.lit(GROUP_BUCKETS))).alias("kind"),
+        # What comes last goes first where a shard is too full: unlinked documents, then those of groups dealt out anyway.
+        F.when(F.col("shard").isNull(), GROUP_BUCKETS + 1).when(F.col("large"), GROUP_BUCKETS).otherwise(F.pmod(F.xxhash64("group"), F.lit(GROUP_BUCKETS))).alias("kind"),
     ).withColumn("bucket", (F.col("kind") * SUB_BUCKETS + F.pmod("draw", F.lit(SUB_BUCKETS))).cast("int")))
     sizes = labelled.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
