@@ -175,3 +175,12 @@ def extract(pages: DataFrame, columns: list[str]) -> DataFrame:
 def op8_html_extraction(spark, sf_dir):
     found = extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def oracle() -> str:
+    """What the main text of pages is that hold one article of plain blocks, as the given ones do."""
+    return r"""
+with article as (select page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') as a from pages),
+blocks as (select page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1|br|ul|li|div)(?:\s[^>]*)?>'), lambda b:
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) as b from article)
+select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), ' ') as text, length(array_to_string(list_filter(b, lambda x: x <> ''), ' '))::bigint as n_chars from blocks"""
