@@ -1,11 +1,13 @@
 """Retrieval: filters, lexical scores, rank fusion, field search and answer context."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions.text import tokens
-from quire.functions.vectors import nearest
+from quire.functions.vectors import cosine, nearest
 
 K1, B, RRF = 1.2, 0.75, 60
 SEARCHABLE = ("validated", "completed")
@@ -92,3 +94,30 @@ def field_search(fields: DataFrame, conditions: list[tuple[str, str, object]]) -
 def budgeted(hits: DataFrame, budget: int) -> DataFrame:
     """hits: query_id, rank, tokens. The best hits of each query whose tokens fit the budget."""
     return hits.withColumn("used", F.sum("tokens").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))).filter(F.col("used") <= budget)
+
+
+def approximate(rows: DataFrame, queries: DataFrame, k: int, dim: int, n_tables: int = 8, seed: int = 3) -> DataFrame:
+    """Neighbours of each query among the rows that fall on its side of the hyperplanes of some table,
+    the k most alike by exact cosine. The planes of a table grow with the logarithm of the rows, so a
+    bucket of spread-out vectors keeps its size. rows: document_id, embedding; queries: query_id, embedding."""
+    bits = int(max(4, round(np.log2(max(rows.count(), 1) / 32)))) if n_tables else 0
+    planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, n_tables * bits))
+    place = 1 << np.arange(bits, dtype=np.int64)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        def run(parts):
+            for pdf in parts:
+                pdf = pdf[[e is not None and len(e) == dim for e in pdf.embedding]]
+                if len(pdf):
+                    side = (np.stack(pdf.embedding.to_list()).astype(np.float64) @ planes > 0).reshape(len(pdf), n_tables, bits)
+                    yield pd.DataFrame({name: pdf[name].to_numpy(), "embedding": pdf.embedding.to_list(), "keys": (side @ place + (np.arange(n_tables) << bits)).tolist()})
+
+        return df.select(name, "embedding").mapInPandas(run, f"{name} long, embedding array<double>, keys array<long>")
+
+    sides = keyed(rows, "document_id").select("document_id", F.explode("keys").alias("key"))
+    asked = keyed(queries, "query_id").select("query_id", F.explode("keys").alias("key"))
+    pairs = sides.join(asked, "key").select("query_id", "document_id").distinct()
+    vectors = rows.select("document_id", F.col("embedding").alias("_a"))
+    met = pairs.join(vectors, "document_id").join(queries.select("query_id", F.col("embedding").alias("_b")), "query_id")
+    scored = met.select("query_id", "document_id", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("score")).filter("score is not null")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.vectors import nearest
+from quire.functions.vectors import cosine, nearest
 from quire.operators import relations as R
 from quire.operators import search, state
 from quire.operators import versions as VS
@@ -278,25 +278,14 @@ def search_batch(c):
 
 @query("select document_id, embedding[1] as first, round(list_cosine_similarity(embedding, list_transform(range(1, 65), lambda i: (i % 5)::double)), 6) as score from t_chunks order by score desc, document_id limit 20")
 def dense_topk(c):
-    from quire.functions.vectors import cosine
-
     probe = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 5).cast("double"))
     return c.chunks.select("document_id", F.col("embedding")[0].alias("first"), F.round(cosine(F.col("embedding"), probe), 6).alias("score")).orderBy(F.desc("score"), "document_id").limit(20)
 
 
 @query()
 def search_ann(c):
-    """Approximate neighbours by random projections, verified by the exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    points = c.chunks.select("document_id", norm.alias("norm"), "embedding").filter("norm > 0")
-    points = points.select("document_id", array_to_vector(F.transform("embedding", lambda x: x / F.col("norm"))).alias("v"))
-    # Of each document, the numerically projected bucket neighbours within a distance (cosine >= 0.5).
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.25, numHashTables=4, seed=3).fit(points)
-    pairs = model.approxSimilarityJoin(points.filter("document_id % 25 = 0"), points, 1.0, distCol="d")
-    return pairs.select(F.col("datasetA.document_id").alias("query_id"), F.col("datasetB.document_id").alias("document_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
+    """Approximate neighbours by random hyperplanes, verified by the exact cosine."""
+    return search.approximate(c.chunks, query_vectors(c), 10, 64)
 
 
 @query("select document_id from t_fields group by document_id having count(*) filter (key = 'total' and try_cast(value as double) >= 100000) > 0 and count(*) filter (key = 'status' and value in ('F', 'O')) > 0 and count(*) filter (key = 'customer' and contains(value, '1')) > 0")

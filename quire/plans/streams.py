@@ -1,10 +1,12 @@
 """Chunking, hooks and streams over the corpus; a stream's SQL is that of its batch twin."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, hooks, state
 from quire.plans.registry import query
-from quire.plans.tables import scratch
+from quire.plans.tables import as_of, scratch
+from quire.sources.tables import retain
 from quire.streaming import streams
 
 SENTENCES = r"""sents as (select document_id, page, (i - 1)::int as place, s[i] as sentence from (select document_id, page, s, unnest(range(1, len(s) + 1)) as i from
@@ -37,8 +39,6 @@ def chunker(c):
 
 @query("select document_id, page, sha256(text) as digest, length(trim(text)) = 0 as is_blank, page = max(page) over (partition by document_id) as is_last from t_pages")
 def split_pages(c):
-    from pyspark.sql import Window as W
-
     return c.pages.select("document_id", "page", F.sha2("text", 256).alias("digest"), (F.length(F.trim("text")) == 0).alias("is_blank"), (F.col("page") == F.max("page").over(W.partitionBy("document_id"))).alias("is_last"))
 
 
@@ -93,9 +93,6 @@ def stream_last_used(c):
 @query("select id, document_id from t_events where created_at > timestamp '2024-01-20 12:00:00' - interval 10 day")
 def stream_ttl(c):
     """A stream whose rows older than the time to live are dropped on the way."""
-    from quire.plans.tables import as_of
-    from quire.sources.tables import retain
-
     events, folder = streamed(c, c.events.select("id", "document_id", "created_at"), "events")
     return streams.run_to_table(retain(events, "created_at", as_of(), 10).select("id", "document_id"), f"{folder}/out", f"{folder}/state")
 

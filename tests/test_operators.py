@@ -4,6 +4,7 @@ import datetime
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import values as V
+from quire.functions.vectors import nearest
 from quire.operators import chunking, relations, search, state, versions
 from quire.sources import blobs
 from quire.sources.tables import STEP_ORDER
@@ -157,6 +159,18 @@ def test_lexical_search_needs_all_words(spark):
     assert rows(search.bm25(docs, queries), "query_id", "document_id", "rank") == [(1, 1, 1), (2, 1, 1)]
 
 
+def test_approximate_search_finds_what_is_near(spark):
+    draw = np.random.default_rng(4)
+    base = draw.standard_normal((20, 32))
+    near = np.concatenate([base + 0.15 * draw.standard_normal(base.shape) for _ in range(5)])
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([near, draw.standard_normal((400, 32))]))] + [(900, None)], "document_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "query_id long, embedding array<double>")
+    exact = {(r.query_id, r.document_id) for r in nearest(rows_, asked, 5).collect()}
+    found = {(r.query_id, r.document_id) for r in search.approximate(rows_, asked, 5, 32).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert search.approximate(rows_.limit(0), asked, 5, 32).count() == 0
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
