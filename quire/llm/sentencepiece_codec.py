@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from quire.llm.common import table
 
-THREADS, BATCH, MAX_MODEL_BYTES, MAX_WORDS = 2, 512, 16 << 20, 400_000
+THREADS, BATCH, MAX_MODEL_BYTES, MAX_WORDS = 2, 128, 16 << 20, 150_000
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 # Piece types of the model format (fixed values).
