@@ -57,6 +57,14 @@ def test_secrets_given_to_names_are_found(spark):
         assert [s.kind for s in r.spans] == ["secret"] * 3
 
 
+@pytest.mark.parametrize("secret", ["correct-horse-battery", "AKIA" + "ABCDEFGH" * 2, "a" * 90 + " [at] example [dot] org"])
+def test_private_values_in_texts_without_digits_or_equals_are_redacted(spark, secret):
+    lead = "password: " if "-" in secret else "it is "
+    docs = spark.createDataFrame([(1, f"words {lead}{secret} and more"), (2, "plain words, nothing else")], "doc_id long, text string")
+    kind = "ADDRESS" if "[at]" in secret else "SECRET"
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: f"words {lead}[{kind}] and more", 2: "plain words, nothing else"}
+
+
 def label_rows(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 
