@@ -113,6 +113,30 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert sum(len(s) > 1 for s in small.values()) <= 3
 
 
+@pytest.mark.parametrize("shares", [(1 / 3,), (0.55, 0.2), (1.0,)])
+def test_groups_larger_than_a_shard_fill_whole_shards(spark, shares):
+    """Each keeps nearly the pairs that full shards and one more can keep; small groups gather in the room left."""
+    n, ends = 4800, [0]
+    for x in shares:
+        ends.append(ends[-1] + round(x * 4800))
+    text = F.concat(F.lit("t"), (F.col("id") / 3).cast("int").cast("string"))
+    for g in range(len(shares)):
+        text = F.when(F.col("id").between(ends[g], ends[g + 1] - 1), f"large {g}").otherwise(text)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = sharding.assign(sharding.fingerprinted(docs)).collect()
+    check_shards(docs.collect(), got, 16)
+    for g in range(len(shares)):
+        of = ends[g + 1] - ends[g]
+        held = Counter(r.shard for r in got if ends[g] <= r.doc_id < ends[g + 1])
+        best = (of // 300 * 300**2 + (of % 300) ** 2) / of**2
+        assert sum(k * k for k in held.values()) / of**2 >= 0.93 * best
+    small = defaultdict(set)
+    for r in got:
+        if r.doc_id >= ends[-1]:
+            small[r.doc_id // 3].add(r.shard)
+    assert sum(len(s) > 1 for s in small.values()) <= 0.1 * max(1, len(small))
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
