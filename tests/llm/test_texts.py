@@ -185,7 +185,7 @@ def hand_model(kind, words, fallback=True):
     return message(*[(1, message((1, p.encode()), (2, s), (3, t))) for p, s, t in pieces], (2, message((3, kind), (35, int(fallback)))), (3, message((1, b"identity"), (3, 1), (4, 0))))
 
 
-TEXTS = ["hello low lower", " two  spaces ", "é漢 unknown\n\tline", "", "lowlow hell o", "<s> </s> <unk>", "x" * 3000]
+TEXTS = ["hello low lower", " two  spaces ", "é漢 unknown\n\tline", "", "lowlow hell o", "<s> </s> <unk>", "x" * 3000, " ", "   ", "low▁ hello", "▁", "hello "]
 UNIGRAM = [("▁", -3.0), ("▁low", -2.0), ("er", -2.5), ("▁hello", -4.0), ("lo", -3.5), ("w", -4.5), ("he", -3.6), ("l", -5.0), ("o", -5.1), ("▁h", -4.4), ("e", -5.2), ("r", -5.3)]
 PAIRS = [("▁", -9.0), ("l", -10.0), ("o", -11.0), ("w", -12.0), ("e", -13.0), ("r", -14.0), ("h", -15.0), ("lo", -1.0), ("▁lo", -2.0), ("▁low", -3.0), ("er", -4.0), ("he", -5.0), ("▁he", -6.0), ("▁▁", -7.0)]
 
@@ -193,14 +193,38 @@ PAIRS = [("▁", -9.0), ("l", -10.0), ("o", -11.0), ("w", -12.0), ("e", -13.0),
 @pytest.mark.parametrize("model", [hand_model(1, UNIGRAM), hand_model(2, PAIRS), hand_model(1, UNIGRAM, False), hand_model(2, PAIRS, False), None])
 def test_ids_equal_those_of_the_library(model):
     codec = sentencepiece_codec.Codec(model or open(sentencepiece_codec.default_model(), "rb").read())
-    expected = codec.expected(TEXTS)
-    assert codec.encode(TEXTS) == expected
-    assert codec.encode(TEXTS) == expected  # from the words met before
-    whole = [e.ids for e in codec.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
-    assert whole == expected
-    assert codec.decode(expected) == codec.tokenizer.decode_batch(expected, skip_special_tokens=False)
+    expected = codec.reference.encode(TEXTS)
+    for _ in range(2):  # the second time from the words met before
+        ids, back, same, whole = codec.encode_texts(TEXTS)
+        assert [memoryview(i).cast("i").tolist() for i in ids] == expected and all(same)
+        assert back == codec.decode(expected) and whole == [a == b for a, b in zip(back, TEXTS)]
+    assert [e.ids for e in codec.tokenizer.encode_batch(TEXTS, add_special_tokens=False)] == expected
     if codec.model.byte_fallback:
-        assert codec.decode(expected) == TEXTS
+        assert codec.decode(expected) == [t.replace(sentencepiece_codec.MARK, " ") for t in TEXTS]
+
+
+def test_word_by_word_equals_the_library_on_whole_documents(spark):
+    """Every document of sf0.01, encoded and decoded whole by the sentencepiece library."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    codec = sentencepiece_codec.Codec(open(sentencepiece_codec.default_model(), "rb").read())
+    texts = [r.text or "" for r in rows]
+    assert codec.by_word is not None
+    ids, back, same, whole = codec.encode_texts(texts)
+    assert [memoryview(i).cast("i").tolist() for i in ids] == codec.reference.encode(texts) and all(same)
+    assert back == codec.reference.decode(codec.reference.encode(texts)) and whole == [a == b for a, b in zip(back, texts)]
+
+
+def test_words_that_disagree_are_reported_and_not_replaced(monkeypatch):
+    codec = sentencepiece_codec.Codec(hand_model(2, PAIRS))
+    given = codec.reference.encode(["hello low", "low"])
+
+    class Other:
+        def encode(self, words, num_threads):
+            return [[0] if w == "hello" else x for w, x in zip(words, real.encode(words), strict=True)]
+
+    real, codec.reference = codec.reference, Other()
+    ids, _, same, _ = codec.encode_texts(["hello low", "low"])
+    assert same == [False, True] and [memoryview(i).cast("i").tolist() for i in ids] == given
 
 
 def test_encoding_over_odd_rows(spark, odd_docs, no_docs):
@@ -208,6 +232,9 @@ def test_encoding_over_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(r.parity for r in got)
     assert all(r.decoded == r.text for r in got) and [r.ids for r in got if r.text is None] == [None]
     assert sentencepiece_codec.encode(no_docs, ["doc_id"]).count() == 0
+    clashing = odd_docs.withColumn("ids", F.lit("x")).withColumn("parity", F.lit(7))
+    given = sentencepiece_codec.encode(clashing, ["doc_id", "ids", "parity"])
+    assert given.columns == ["doc_id", "ids", "parity", "round_trip", "decoded"] and given.filter("parity").count() == odd_docs.count()
 
 
 def test_queries_with_sql(spark, sf_dir):
