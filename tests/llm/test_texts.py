@@ -70,15 +70,67 @@ def label_rows(spark, sf_dir):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    folder = "/root/testdata/sf0.01"
-    rows = toxicity.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
-    assert len(rows) > 40 and right >= 0.93
+    """Recall and precision on held-out rows, above those of the fixed words alone."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = toxicity.op4_toxicity(spark, folder).join(labels, "doc_id").join(texts, "doc_id").filter("held_out").collect()
+    caught = sum(r.predicted == r.toxic == 1 for r in rows)
+    toxic, flagged = sum(r.toxic for r in rows), sum(r.predicted for r in rows)
+    listed = sum(bool(r.toxic and set(toxicity.TOKEN.findall((r.text or "").lower())) & set(toxicity.INSULTS)) for r in rows)
+    assert toxic > 80 and caught / toxic >= 0.85 and caught / flagged >= 0.95 and caught > listed
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_learned_weights_keep_the_order_of_patterns(spark, sf):
+    stems, weights = toxicity.learn(*label_rows(spark, f"/root/testdata/{sf}"))
+    w = dict(zip(toxicity.PATTERNS, weights, strict=False))
+    assert w[toxicity.NEGATED] <= 0 and w[toxicity.REPORTED] <= 0 and 0 <= w[toxicity.LIKELY] <= w[toxicity.INSULT] <= w[toxicity.AIMED_INSULT]
+    assert 0 <= w[toxicity.THREAT] <= w[toxicity.AIMED_THREAT]
+    texts = ["you are not an idiot", "the paper said an idiot did it", "he did not kill her", "kill the process", "words of no kind", "", None, "an idiot did it", "you are an idiot", "i will kill you"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (stems, weights), ["doc_id"]).collect()}
+    assert all(got[i] < 0.5 for i in range(7)) and all(got[i] >= 0.5 for i in range(7, 10)) and got[8] > got[7] and got[5] == got[6]
+
+
+def by_rules(symbols):
+    """The patterns of a clause, by looking around each insult and threat; without any machine."""
+    t, found = toxicity, set()
+    reach = lambda i, n, kind: kind in symbols[max(0, i - n) : i]
+    changed = list(symbols)
+    for i, s in enumerate(symbols):
+        if s in (t.INSULT, t.LIKELY, t.THREAT):
+            if reach(i, 3, t.NEGATION):
+                changed[i] = t.NEGATED
+            elif reach(i, 8, t.REPORT):
+                changed[i] = t.REPORTED
+            elif reach(i, 4, t.TARGET):
+                changed[i] = {t.INSULT: t.AIMED_INSULT, t.LIKELY: t.INSULT, t.THREAT: t.AIMED_THREAT}[s]
+    for i, s in enumerate(changed):
+        if s in t.PATTERNS:
+            found.add(s)
+        if s in (t.INSULT, t.THREAT):
+            after = changed[i + 1 : i + 4]
+            if t.TARGET in after and not {t.INSULT, t.THREAT} & set(after[: after.index(t.TARGET)]):
+                found.add(t.AIMED_INSULT if s == t.INSULT else t.AIMED_THREAT)
+    return found
+
+
+def test_the_machine_equals_rules_without_one():
+    import itertools
+    import random
+
+    draw, g = random.Random(3), toxicity.Grammar({"likely": toxicity.LIKELY})
+    words = {toxicity.OTHER: "tree", toxicity.INSULT: "idiot", toxicity.LIKELY: "likelyx", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "said"}
+    clauses = [*itertools.product(words, repeat=3), *(draw.choices(list(words), weights=[6, 2, 2, 2, 2, 1, 1], k=draw.randrange(1, 25)) for _ in range(4000))]
+    for clause in clauses:
+        found = by_rules(list(clause))
+        assert g.pattern([words[s] for s in clause]) == max((toxicity.PATTERNS.index(p) for p in found), default=-1), clause
+
+
 def test_grammar_composes_negation_reports_and_targets():
-    g = toxicity.Grammar([])
+    g = toxicity.Grammar({})
 
     def pattern(text):
         x = g.features(text)
@@ -100,7 +152,9 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert toxicity.drop_toxic(no_docs, no_labels).count() == 0
     nulls = spark.createDataFrame([(None, None, None), (1, 1, None), (6, 0, 0)], "doc_id long, quality int, toxic int")
-    assert toxicity.learn(odd_docs, nulls) == ([], *toxicity.DEFAULT_WEIGHTS)
+    assert toxicity.learn(odd_docs, nulls) == ({}, list(toxicity.PRIOR))
+    clashing = odd_docs.withColumn("_toxicity", F.lit(0.9)).withColumn("toxic", F.lit(1))
+    assert toxicity.drop_toxic(clashing, no_labels).columns == clashing.columns
 
 
 PAGES = [
