@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,32 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_ratios_alone_find_the_text(spark):
+    """Pages without class names and sectioning: nothing says what is what but the ratios."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    whole = kept = alien = exact = 0
+    for page in pages:
+        plain = re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+        want, got = html_text.main_text(page), html_text.main_text(plain)
+        exact += got == want
+        whole, kept, alien = whole + len(want), kept + (len(want) if want in got else 0), alien + max(0, len(got) - len(want))
+    assert exact >= 0.75 * len(pages) and kept >= 0.95 * whole and alien <= 0.05 * whole
+    assert html_text.main_text("<div><ul><li><a>one</a><li><a>two</a></ul></div><div><p>" + "long words " * 30 + "<p>short</div><div>(c) us</div>") == ("long words " * 30).strip() + " short"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    for page in ("<b>" * 100_000 + "x" + "</i>" * 100_000, "<div>" * 100_000 + "x", "<p><button>" * 50_000 + "</b>" * 100_000, "<li><p>x" * 50_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_pages_with_clashing_columns_and_none(spark):
+    pages = spark.createDataFrame([(1, "u", "mine", "<p>theirs</p>")], "page_id int, url string, text string, html string")
+    assert [tuple(r) for r in html_text.extract(pages, ["page_id", "text"]).collect()] == [(1, "theirs")]
+    assert html_text.extract(pages.filter("false"), ["page_id", "url"]).count() == 0
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
