@@ -49,8 +49,20 @@ def test_mix_meets_its_targets(spark, odd_docs):
             assert r.source_size == totals[source[r.doc_id]] and abs(r.target - target[source[r.doc_id]]) < 1e-6
             assert 0 <= r.taken <= 2 * r.size
             taken[source[r.doc_id]] += r.taken
-        assert all(abs(taken[s] - target[s]) <= 2 for s in totals)
-        assert sum(taken.values()) <= 1.5 * sum(totals.values())
+        assert all(abs(taken[s] - target[s]) <= 2 * mixing.LEAST_PIECE for s in totals)
+        assert sum(taken.values()) == int(1.5 * sum(totals.values()))  # the sort ends at the budget, to the word
+
+
+def test_the_sort_over_all_sources_is_what_ends_the_mix(spark):
+    """A smaller budget than the targets add up to cuts all sources at one virtual time; ties and repeated rows count each."""
+    docs = spark.createDataFrame([(i // 2, "ab"[i % 2], 40) for i in range(400)] + [(7, "a", 40), (7, "a", 40), (None, "b", 40)], "doc_id int, source string, size long")
+    each = mixing.turns(docs).drop("_range", "_in_range", "_ahead", "_run", "position").withColumn("words", F.lit(None).cast("long"))
+    placed = mixing.in_virtual_time(each.withColumn("words", F.least(F.lit(16), F.col("size") - F.col("_from"))), 5000, 256).cache()
+    assert placed.agg(F.sum("words")).first()[0] == 5000
+    taken, left = placed.filter("words = least(16, size - _from)"), placed.filter("words = 0")
+    assert taken.agg(F.max("finish")).first()[0] <= left.agg(F.min("finish")).first()[0]
+    spent = {r.source: r.w / r.target for r in placed.groupBy("source").agg(F.sum("words").alias("w"), F.first("target").alias("target")).collect()}
+    assert abs(spent["a"] - spent["b"]) < 0.01 and spent["a"] < 0.5
 
 
 def test_mix_gives_texts_in_order(spark, odd_docs, no_docs):
