@@ -1,4 +1,4 @@
-"""Vector arithmetic: in expressions for single pairs, and by matrix products for a query set."""
+"""Vector arithmetic: in expressions for single pairs, and by matrix products of blocks for a query set."""
 
 import numpy as np
 import pandas as pd
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: A query set is sent to all tasks in blocks of so many vectors at most.
-MAX_QUERIES = 4096
+#: Rows of a block of queries, and of a block of data; one task multiplies one of each.
+QUERIES, ROWS = 8192, 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,49 +20,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, least: float | None = None) -> DataFrame:
-    """The k most alike rows of each query by cosine, or all of at least `least`.
+def nearest(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, within: str | None = None) -> DataFrame:
+    """The k most alike rows of each query by cosine, exactly; with `within`, among rows alike in that column.
 
     rows: document_id, embedding; queries: query_id, embedding. Returns query_id, document_id, score
-    and rank. Each task multiplies its rows with a block of queries and hands on k rows a query, so
-    the shuffle grows with the queries, not with pairs.
+    and rank. Data and queries are dealt into blocks by a hash, and each task multiplies a block of
+    either: it hands on k rows a query (and what ties with the kth), so what is ranked at last grows
+    with queries and blocks, not with pairs. Nothing passes the driver but two counts.
     """
-    blocks, found = queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id").toLocalIterator(), None
-    block: list = []
+    group = F.col(within) if within else F.lit(0)
+    data = rows.filter("embedding is not null and document_id is not null").select("document_id", F.col("embedding").alias("_x"), group.alias("_group"))
+    asked = queries.filter("embedding is not null and query_id is not null").select("query_id", F.col("embedding").alias("_y"), group.alias("_asked"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = data.count()
+    n_data, n_asked = max(1, min(spread, n // 1000), -(-n // ROWS)), max(1, -(-asked.count() // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = data.withColumn("_d", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(n_data)).cast("int")).withColumn("_q", every(n_asked))
+    asked = asked.withColumn("_q", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(n_asked)).cast("int")).withColumn("_d", every(n_data))
+    # Vectors of unlike size are never compared.
+    data, asked = data.withColumn("_size", F.size("_x")), asked.withColumn("_size", F.size("_y"))
 
-    def search(block):
-        ids = np.array([r.query_id for r in block], np.int64)
-        q = np.array([r.embedding for r in block], np.float64)
-        norms = np.linalg.norm(q, axis=1)
+    def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "document_id": [], "score": []}).astype({"query_id": "int64", "document_id": "int64", "score": "float64"})]
+        if len(data) and len(asked):
+            x, docs = np.stack(data._x.to_list()).astype(np.float64), data.document_id.to_numpy()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for at in range(0, len(asked), 512):
+                part = asked.iloc[at : at + 512]
+                q, ids = np.stack(part._y.to_list()).astype(np.float64), part.query_id.to_numpy()
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
+                s[~np.isfinite(s)] = -2
+                if exclude_self:
+                    s[ids[:, None] == docs[None, :]] = -2
+                kth = min(k, s.shape[1])
+                border = -np.partition(-s, kth - 1, axis=1)[:, kth - 1 : kth]
+                # Scores are compared as rounded, so what comes near the kth is kept with what ties.
+                i, j = np.nonzero((s >= border - 1e-6) & (s > -2))
+                found.append(pd.DataFrame({"query_id": ids[i], "document_id": docs[j], "score": s[i, j]}))
+        return pd.concat(found, ignore_index=True)
 
-        def run(parts):
-            for pdf in parts:
-                pdf = pdf[[e is not None and len(e) == q.shape[1] for e in pdf.embedding]]
-                for at in range(0, len(pdf), 2048):
-                    part = pdf.iloc[at : at + 2048]
-                    x, docs = np.stack(part.embedding.to_list()).astype(np.float64), part.document_id.to_numpy()
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s = (q @ x.T) / np.outer(norms, np.linalg.norm(x, axis=1))
-                    s[~np.isfinite(s)] = -2
-                    if exclude_self:
-                        s[ids[:, None] == docs[None, :]] = -2
-                    if least is not None:
-                        i, j = np.nonzero(s >= least)
-                    else:
-                        top = np.argsort(-s, axis=1, kind="stable")[:, : min(k, s.shape[1])]
-                        # Keep what ties with the kth.
-                        border = np.take_along_axis(s, top[:, -1:], 1)
-                        i, j = np.nonzero((s >= border) & (s > -2))
-                    yield pd.DataFrame({"query_id": ids[i], "document_id": docs[j], "score": s[i, j]})
-
-        return rows.select("document_id", "embedding").mapInPandas(run, "query_id long, document_id long, score double")
-
-    for row in blocks:
-        block.append(row)
-        if len(block) == MAX_QUERIES:
-            found, block = search(block) if found is None else found.union(search(block)), []
-    if block or found is None:
-        part = search(block) if block else rows.sparkSession.createDataFrame([], "query_id long, document_id long, score double")
-        found = part if found is None else found.union(part)
-    ranked = found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id")))
-    return ranked if least is not None else ranked.filter(F.col("rank") <= k)
+    cells = ["_d", "_q", "_size"]
+    found = data.groupBy(*cells, "_group").cogroup(asked.groupBy(*cells, "_asked")).applyInPandas(run, "query_id long, document_id long, score double")
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)

@@ -33,6 +33,14 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.unionByName(new.join(old, keys, "left_anti").select(*old.columns))
 
 
+def admit(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """new with outcome: `appended` for the first row (in order) of a key that old lacks, else `refused`."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1
+    there = old.select(*keys, F.lit(True).alias("_there")).distinct()
+    met = new.withColumn("_first", first).join(there, keys, "left")
+    return met.withColumn("outcome", F.when(F.col("_first") & F.col("_there").isNull(), "appended").otherwise("refused")).drop("_first", "_there")
+
+
 def patch(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """patches: key, column, value (string, null is a legal new value). Only named columns change."""
     columns = [c for c in rows.columns if c != key]

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions.text import tokens
-from quire.functions.vectors import cosine, nearest
+from quire.functions.vectors import cosine, dot, nearest
+from quire.operators.components import components
+from quire.operators.lineage import cut
 
-K1, B, RRF = 1.2, 0.75, 60
+K1, B, RRF, SALT = 1.2, 0.75, 60, 8
 SEARCHABLE = ("validated", "completed")
 
 
@@ -36,23 +38,29 @@ def clamp(top_k: int) -> int:
 
 def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """rows: document_id, text; queries: query_id, words (array). Rows that hold all words of a query,
-    with their BM25 score and rank. Only the queries' words are counted, before anything is shuffled."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("n_words"))
-    # A query set is small by nature, but it is joined, not broadcast by force.
-    sized = rows.select("document_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    overall = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    vocabulary = [r.word for r in wanted.select("word").distinct().limit(10_001).collect()]
+    with their BM25 score and rank.
+
+    Texts are split into words once, and only the words that are asked for go on. Queries of the same
+    words are scored once. Words that most rows hold are split over SALT tasks.
+    """
+    sets = queries.select("query_id", F.array_sort(F.array_distinct("words")).alias("set"))
+    wanted = cut(sets.select("set").distinct()).select(F.xxhash64("set").alias("of"), F.explode("set").alias("word"), F.size("set").alias("n_words"))
+    vocabulary = [r.word for r in wanted.select("word").distinct().limit(1001).collect()]
+    words = rows.select("document_id", tokens(F.col("text")).alias("words"))
     held = F.filter("words", lambda w: w.isin(vocabulary)) if len(vocabulary) <= 1000 else F.col("words")
-    counts = sized.select("document_id", "size", F.explode(held).alias("word")).groupBy("document_id", "size", "word").agg(F.count("*").alias("tf"))
-    hits = counts.join(wanted, "word")
-    frequency = hits.groupBy("query_id", "word").agg(F.count("*").alias("df"))
+    counts = words.select("document_id", F.size("words").alias("size"), F.explode_outer(held).alias("word")).groupBy("document_id", "size", "word").agg(F.count("*").alias("tf"))
+    counts = cut(counts)
+    overall = counts.groupBy("document_id", "size").agg(F.lit(1)).agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    counts = counts.filter("word is not null")
     idf = F.log((F.lit(overall.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(overall["mean"] or 1.0)))
-    scored = hits.join(frequency, ["query_id", "word"]).withColumn("w", weight)
-    # Summed in order of the words, so that the sum is the same everywhere.
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("word", "w"))), F.lit(0.0), lambda s, x: s + x["w"])
-    found = scored.groupBy("query_id", "document_id").agg(F.round(total, 6).alias("score"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n = n_words")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).select("query_id", "document_id", "score", "rank")
+    weighed = wanted.join(counts.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("idf", idf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = counts.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(SALT)).cast("int")).join(weighed, ["word", "salt"])
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(overall["mean"] or 1.0)))
+    # Summed in order of the words, so that the sum is the same everywhere; a set has few words.
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("word", weight.alias("w")))), F.lit(0.0), lambda s, x: s + x["w"])
+    scored = hits.groupBy("of", "document_id").agg(F.round(total, 6).alias("score"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n = n_words")
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "document_id")))
+    return ranked.join(sets.select("query_id", F.xxhash64("set").alias("of")), "of").select("query_id", "document_id", "score", "rank")
 
 
 def fuse(rankings: list[DataFrame], constant: int = RRF) -> DataFrame:
@@ -96,28 +104,73 @@ def budgeted(hits: DataFrame, budget: int) -> DataFrame:
     return hits.withColumn("used", F.sum("tokens").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))).filter(F.col("used") <= budget)
 
 
-def approximate(rows: DataFrame, queries: DataFrame, k: int, dim: int, n_tables: int = 8, seed: int = 3) -> DataFrame:
-    """Neighbours of each query among the rows that fall on its side of the hyperplanes of some table,
-    the k most alike by exact cosine. The planes of a table grow with the logarithm of the rows, so a
-    bucket of spread-out vectors keeps its size. rows: document_id, embedding; queries: query_id, embedding."""
-    bits = int(max(4, round(np.log2(max(rows.count(), 1) / 32)))) if n_tables else 0
-    planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, n_tables * bits))
+def by_planes(rows: DataFrame, name: str, n_tables: int, bits: int, seed: int = 3) -> DataFrame:
+    """name and key: in each of n_tables tables, the side of bits random hyperplanes that a vector lies on (and the
+    table and the vector's size). Zero vectors, and those with nulls or nan, have none."""
     place = 1 << np.arange(bits, dtype=np.int64)
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        def run(parts):
-            for pdf in parts:
-                pdf = pdf[[e is not None and len(e) == dim for e in pdf.embedding]]
-                if len(pdf):
-                    side = (np.stack(pdf.embedding.to_list()).astype(np.float64) @ planes > 0).reshape(len(pdf), n_tables, bits)
-                    yield pd.DataFrame({name: pdf[name].to_numpy(), "embedding": pdf.embedding.to_list(), "keys": (side @ place + (np.arange(n_tables) << bits)).tolist()})
-
-        return df.select(name, "embedding").mapInPandas(run, f"{name} long, embedding array<double>, keys array<long>")
-
-    sides = keyed(rows, "document_id").select("document_id", F.explode("keys").alias("key"))
-    asked = keyed(queries, "query_id").select("query_id", F.explode("keys").alias("key"))
-    pairs = sides.join(asked, "key").select("query_id", "document_id").distinct()
-    vectors = rows.select("document_id", F.col("embedding").alias("_a"))
-    met = pairs.join(vectors, "document_id").join(queries.select("query_id", F.col("embedding").alias("_b")), "query_id")
-    scored = met.select("query_id", "document_id", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("score")).filter("score is not null")
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)
+    def run(parts):
+        planes: dict[int, np.ndarray] = {}
+        for pdf in parts:
+            for size, of in pdf.groupby(pdf.embedding.str.len()):
+                if size not in planes:
+                    planes[size] = np.random.Generator(np.random.PCG64([seed, int(size)])).standard_normal((int(size), n_tables * bits))
+                side = (np.stack(of.embedding.to_list()).astype(np.float64) @ planes[size] > 0).reshape(len(of), n_tables, bits)
+                keys = ((side @ place) * n_tables + np.arange(n_tables)) * 65536 + int(size)
+                yield pd.DataFrame({name: of[name].to_numpy(), "keys": keys.tolist()})
+
+    good = rows.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (dot(F.col("embedding"), F.col("embedding")) > 0))
+    return good.select(name, "embedding").mapInPandas(run, f"{name} long, keys array<long>").select(name, F.explode("keys").alias("key"))
+
+
+def bits_for(n: int) -> int:
+    """Hyperplanes of a table so that a bucket of spread-out vectors keeps its size."""
+    return int(min(40, max(4, round(np.log2(max(n, 1) / 32)))))
+
+
+def scored(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs: query_id, document_id. With their exact cosine."""
+    met = pairs.join(rows.select("document_id", F.col("embedding").alias("_a")), "document_id").join(queries.select("query_id", F.col("embedding").alias("_b")), "query_id")
+    return met.select("query_id", "document_id", cosine(F.col("_a"), F.col("_b")).alias("score")).filter("score is not null")
+
+
+def approximate(rows: DataFrame, queries: DataFrame, k: int, n_tables: int = 8, least_recall: float = 0.9, sample: int = 100) -> DataFrame:
+    """About the k nearest rows of each query, with score, rank and recall.
+
+    Candidates are the rows on a query's side of the hyperplanes of some table, verified by the exact
+    cosine. recall is measured on a sample of the queries against the exact search; while it is less than
+    least_recall, tables are doubled, and from 128 tables on buckets are widened instead. A query with
+    fewer than k candidates is searched exactly. rows: document_id, embedding; queries: query_id, embedding.
+    """
+    n = rows.count()
+    bits = bits_for(n)
+    probe = queries.filter("embedding is not null").orderBy(F.xxhash64("query_id", F.lit(5))).limit(sample)
+    true = cut(nearest(rows, probe, k))
+    n_true = true.count()
+    while True:
+        pairs = by_planes(rows, "document_id", n_tables, bits).join(by_planes(queries, "query_id", n_tables, bits), "key").select("query_id", "document_id").distinct()
+        found = scored(pairs, rows, queries).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)
+        found = cut(found)
+        recall = found.join(true.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi").count() / n_true if n_true else 1.0
+        if recall >= least_recall or bits == 0:
+            break
+        n_tables, bits = (n_tables * 2, bits) if n_tables < 128 else (n_tables, bits - min(bits, 2))
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    rest = nearest(rows, queries.join(full, "query_id", "left_anti"), k)
+    return found.join(full, "query_id", "left_semi").unionByName(rest).withColumn("recall", F.lit(round(recall, 4)))
+
+
+def alike(rows: DataFrame, least: float, missed: float = 1e-6) -> DataFrame:
+    """rows: document_id, embedding. document_id and class_id, the smallest id that links reach: pairs whose cosine is
+    least or more. A pair of exactly that likeness meets in no table with a chance of `missed`; the number
+    of tables follows from that, whatever the size. Equal vectors are one in all joins but the last."""
+    same = rows.filter("embedding is not null and document_id is not null").groupBy("embedding").agg(F.min("document_id").alias("class"))
+    nodes = cut(same.select(F.col("class").alias("document_id"), "embedding"))
+    bits = bits_for(nodes.count())
+    met = (1 - np.arccos(least) / np.pi) ** bits
+    sides = by_planes(nodes, "document_id", int(np.ceil(np.log(missed) / np.log(1 - met))), bits)
+    pairs = sides.withColumnRenamed("document_id", "query_id").join(sides, "key").filter("query_id < document_id").select("query_id", "document_id").distinct()
+    close = scored(pairs, nodes, nodes.withColumnRenamed("document_id", "query_id")).filter(F.col("score") >= least)
+    found = components(close.select(F.col("query_id").alias("u"), F.col("document_id").alias("v")))
+    classes = nodes.join(found, F.col("node") == F.col("document_id"), "left").select("embedding", F.coalesce("component", "document_id").alias("class_id"))
+    return rows.select("document_id", "embedding").join(classes, "embedding", "left").select("document_id", F.coalesce("class_id", "document_id").alias("class_id"))

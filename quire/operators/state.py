@@ -83,11 +83,23 @@ def document_status(steps: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def claims_within_ttl(claims: DataFrame) -> DataFrame:
-    """claims: key, at (seconds), ttl. won: whether a claim is the first since the last won one expired.
+    """claims: key, at (seconds), id, ttl. won: whether a claim is the first since the last won one expired.
 
-    A won claim restarts the clock, so a key's claims are folded in order of time.
+    A won claim restarts the clock, so a key's claims are gone through in order of time: they stream
+    through one task, sorted, and no more than a batch of them is held.
     """
-    listed = claims.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "ttl"))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("until"), F.expr("cast(array() as array<bigint>)").alias("won"))
-    fold = F.aggregate("all", start, lambda a, c: F.when(a["until"].isNull() | (c["at"] >= a["until"]), F.named_struct(F.lit("until"), c["at"] + c["ttl"], F.lit("won"), F.concat(a["won"], F.array(c["id"])))).otherwise(a))
-    return listed.select("key", F.explode("all").alias("c"), fold["won"].alias("won")).select("key", F.col("c.id").alias("id"), F.array_contains("won", F.col("c.id")).alias("won"))
+
+    def run(parts):
+        key = until = None
+        for pdf in parts:
+            won = []
+            for k, at, ttl in zip(pdf.key, pdf["at"], pdf.ttl, strict=True):
+                if k != key or at >= until:
+                    key, until = k, at + ttl
+                    won.append(True)
+                else:
+                    won.append(False)
+            yield pdf[["key", "id"]].assign(won=won)
+
+    kinds = dict(claims.dtypes)
+    return claims.repartition("key").sortWithinPartitions("key", "at", "id").select("key", "at", "id", "ttl").mapInPandas(run, f"key {kinds['key']}, id {kinds['id']}, won boolean")

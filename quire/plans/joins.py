@@ -81,11 +81,12 @@ def similar_documents(c):
     return nearest(c.chunks, query_vectors(c), 10, exclude_self=True)
 
 
-@query("""select a.document_id as query_id, b.document_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) as score from t_chunks a join t_chunks b on a.document_id <> b.document_id and a.document_id % 25 = 0
-where list_cosine_similarity(a.embedding, b.embedding) >= 0.35""")
+@query("""with recursive links as materialized (select a.document_id as u, b.document_id as v from t_chunks a join t_chunks b on a.document_id <> b.document_id where list_cosine_similarity(a.embedding, b.embedding) >= 0.93),
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u), smallest as (select u, min(v) as m from reach group by u)
+select document_id, least(document_id, coalesce(m, document_id)) as class_id from t_chunks left join smallest on u = document_id""")
 def near_duplicates(c):
-    """Exact form: a query set against all vectors, all pairs of at least that likeness."""
-    return nearest(c.chunks, query_vectors(c), 0, exclude_self=True, least=0.35).select("query_id", "document_id", "score")
+    """A self join of all vectors, by hyperplane buckets; one row per document with its class."""
+    return search.alike(c.chunks, 0.93)
 
 
 @query("select document_id, sha256, first_id, document_id <> first_id as deduplicated from (select document_id, sha256, min_by(document_id, (created_at, document_id)) over (partition by sha256) as first_id from t_documents where deleted_at is null)")
@@ -134,10 +135,11 @@ def citation_join(c):
     return cited.join(c.pages.select("document_id", "page"), ["document_id", "page"]).select("conv_id", "turn", "document_id", "page")
 
 
-@query("""select f.document_id, f.key, contains(p.text, f.evidence) as found from (select document_id % 1000 as document_id, page, key, substr(value, 1, 1) as evidence from t_fields where key in ('status', 'customer') and value is not null and document_id % 20 = 0) f
+@query("""select f.document_id, f.key, contains(p.text, f.evidence) as found from (select document_id, page, key, value as evidence from t_fields where key in ('status', 'customer') and value is not null) f
 join t_pages p on f.document_id = p.document_id and f.page = p.page""")
 def evidence_join(c):
-    f = c.fields.filter("key in ('status', 'customer') and value is not null and document_id % 20 = 0").selectExpr("document_id % 1000 as document_id", "page", "key", "substring(value, 1, 1) as evidence")
+    """Every field's evidence, sought in the page of its own document that it names."""
+    f = c.fields.filter("key in ('status', 'customer') and value is not null").select("document_id", "page", "key", F.col("value").alias("evidence"))
     return f.join(c.pages, ["document_id", "page"]).select("document_id", "key", F.contains("text", "evidence").alias("found"))
 
 

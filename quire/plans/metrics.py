@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import versions as VS
+from quire.operators.lineage import cut
+from quire.operators.relations import admit
 from quire.plans.registry import query
-from quire.plans.tables import AS_OF, as_of
-from quire.sources.tables import STEP_ORDER
+from quire.plans.tables import AS_OF, as_of, scratch
+from quire.sources.tables import STEP_ORDER, append, conform, read
 
 STEPS = ", ".join(f"'{s}'" for s in STEP_ORDER)
 
@@ -327,6 +329,23 @@ def page_ranges(c):
     return c.pages.groupBy("document_id", F.floor((F.col("page") - 1) / 4).cast("int").alias("chunk_index")).agg(F.min("page").alias("page_from"), F.max("page").alias("page_to"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query(f"select webhook_id, count(*) as n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last from t_deliveries where created_at <= timestamp '{AS_OF}' group by webhook_id")
+@query("""with every as (select webhook_id, status, attempt, created_at from t_deliveries union all select webhook_id, 'pending', attempt + 1, created_at + interval 1 minute from t_deliveries where status = 'failed' and attempt < 6)
+select webhook_id, status, count(*) as n, max(attempt)::int as attempt, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last from every group by webhook_id, status""")
 def delivery_record(c):
-    return c.deliveries.filter(F.col("created_at") <= as_of()).groupBy("webhook_id").agg(F.count("*").alias("n"), F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+    """Each failed delivery with attempts left gets a pending one appended."""
+    folder = scratch(c)
+    append(conform(c.deliveries, "webhook_deliveries"), folder, "webhook_deliveries")
+    failed = read(c.spark, folder, "webhook_deliveries").filter("status = 'failed' and attempt < 6")
+    again = cut(failed.withColumns({"status": F.lit("pending"), "attempt": F.col("attempt") + 1, "created_at": F.col("created_at") + F.expr("interval 1 minute")}))
+    append(again, folder, "webhook_deliveries")
+    stored = read(c.spark, folder, "webhook_deliveries")
+    return stored.groupBy("webhook_id", "status").agg(F.count("*").alias("n"), F.max("attempt").alias("attempt"), F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@query("""with asked as (select s_suppkey + 7 as webhook_id, s_suppkey as by_id from supplier union all select s_suppkey + 9, s_suppkey + 1000000 from supplier where s_suppkey % 3 = 0)
+select webhook_id, by_id, case when webhook_id in (select webhook_id from t_webhooks) or row_number() over (partition by webhook_id order by by_id) > 1 then 'refused' else 'appended' end as outcome from asked""")
+def subscription_add(c):
+    """Subscriptions are appended; one that is there, or is asked for a second time, is refused."""
+    s = c.table("supplier")
+    asked = s.select((F.col("s_suppkey") + 7).alias("webhook_id"), F.col("s_suppkey").alias("by_id")).unionByName(s.filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 9).alias("webhook_id"), (F.col("s_suppkey") + 1000000).alias("by_id")))
+    return admit(c.webhooks, asked, ["webhook_id"], [F.col("by_id")]).select("webhook_id", "by_id", "outcome")

@@ -8,11 +8,12 @@ from quire.functions.vectors import cosine, nearest
 from quire.operators import relations as R
 from quire.operators import search, state
 from quire.operators import versions as VS
+from quire.operators.lineage import cut
 from quire.plans.joins import KNN, query_vectors, review_rows, step_rows
 from quire.plans.metrics import CHECKED, checked
 from quire.plans.registry import query
-from quire.plans.tables import as_of
-from quire.sources.tables import DOCUMENT_STATUS, STEP_ORDER, STEP_STATUS
+from quire.plans.tables import as_of, scratch
+from quire.sources.tables import DOCUMENT_STATUS, STEP_ORDER, STEP_STATUS, append, conform, read
 
 AT = "2024-02-01 00:00:00"
 STEPS = ", ".join(f"'{s}'" for s in STEP_ORDER)
@@ -104,10 +105,19 @@ def ingest_outcome(c):
     return met.select("document_id", code.alias("code"))
 
 
-@query("select doc_id as document_id, case when quality = 1 and toxic = 0 then 'approved' when toxic = 1 then 'rejected' else 'corrected' end as decision, doc_id % 2 = 0 as auto from labels")
+DECISION = "case when quality = 1 and toxic = 0 then 'approved' when toxic = 1 then 'rejected' else 'corrected' end"
+
+
+@query(f"""select doc_id as document_id, {DECISION} as decision, false as auto from labels union all
+select document_id, 'approved', true from t_documents where document_confidence >= 0.8 and document_id in (select doc_id from labels where quality = 1 and toxic = 0)""")
 def validation_add(c):
-    decision = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "approved").when(F.col("toxic") == 1, "rejected").otherwise("corrected")
-    return c.table("labels").select(F.col("doc_id").alias("document_id"), decision.alias("decision"), (F.col("doc_id") % 2 == 0).alias("auto"))
+    """Decisions are only ever appended: first those made automatically, then the reviewers'."""
+    folder = scratch(c)
+    labels = c.table("labels").select(F.col("doc_id").alias("document_id"), F.expr(DECISION).alias("decision"), F.lit(False).alias("auto"))
+    sure = c.documents.filter("document_confidence >= 0.8").select("document_id").join(labels.filter("decision = 'approved'"), "document_id", "left_semi")
+    append(conform(sure.select("document_id", F.lit("approved").alias("decision"), F.lit(True).alias("auto")), "validations"), folder, "validations")
+    append(conform(labels, "validations"), folder, "validations")
+    return read(c.spark, folder, "validations").select("document_id", "decision", "auto")
 
 
 @query("select document_id, case when l.doc_id is null then status when toxic = 1 then 'quarantined' when status = 'pending_review' then 'completed' else status end as status from t_documents left join labels l on l.doc_id = document_id")
@@ -117,10 +127,32 @@ def bulk_approve(c):
     return c.documents.join(labels, "document_id", "left").select("document_id", after.alias("status"))
 
 
-@query("select d.document_id, t.version + 1 as tag_version, t.slug || '@' || (t.version + 1) as snapshot from t_documents d join t_tags t using (tag_id)")
+@query(f"""with {FULL} select document_id, step, case when step_pos >= 4 and document_id in (select doc_id from labels where toxic = 1) then 'pending' else status end as status,
+case when step_pos >= 4 and document_id in (select doc_id from labels where toxic = 1) then 0 else attempt end as attempt from full_steps""")
+def bulk_reject(c):
+    """Rejected documents are processed again from extraction on."""
+    rejected = c.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id"), F.lit("extract").alias("from_step"))
+    return state.reset_from(step_rows(c), rejected).select("document_id", "step", "status", "attempt")
+
+
+SEEN = "t.version - document_id % 2"
+
+
+@query(f"""with asked as (select d.document_id, d.tag_id, {SEEN} + 1 as tag_version, t.version from t_documents d join t_tags t using (tag_id))
+select document_id, tag_version, case when tag_version > version and row_number() over (partition by tag_id, tag_version order by document_id) = 1 then 'appended' else 'refused' end as outcome from asked""")
 def tag_bump(c):
-    bumped = c.tags.select("tag_id", (F.col("version") + 1).alias("tag_version"), F.concat("slug", F.lit("@"), F.col("version") + 1).alias("snapshot"))
-    return c.documents.join(bumped, "tag_id").select("document_id", "tag_version", "snapshot")
+    """Documents ask for the version after the one that they have seen. Snapshots are immutable: one that is there is
+    refused, and of several new ones the first is appended."""
+    folder = scratch(c)
+    there = c.tags.select("tag_id", F.explode(F.sequence(F.lit(1), "version")).alias("version"), F.col("slug").alias("snapshot"))
+    append(conform(there, "tag_versions"), folder, "tag_versions")
+    asked = c.documents.join(c.tags.select("tag_id", F.col("version").alias("now"), "slug"), "tag_id")
+    asked = asked.select("document_id", "tag_id", (F.col("now") - F.col("document_id") % 2 + 1).cast("int").alias("version"), F.col("slug").alias("snapshot"))
+    told = cut(R.admit(read(c.spark, folder, "tag_versions"), asked, ["tag_id", "version"], [F.col("document_id")]))
+    append(conform(told.filter("outcome = 'appended'"), "tag_versions"), folder, "tag_versions")
+    stored = read(c.spark, folder, "tag_versions")
+    assert R.duplicate_keys(stored, ["tag_id", "version"]).isEmpty()
+    return told.select("document_id", F.col("version").alias("tag_version"), "outcome")
 
 
 @query("select source as slug, min(document_id) as tag_id, count(*) as asked from t_documents where source not in (select slug from t_tags) group by source")
@@ -130,11 +162,21 @@ def tag_create(c):
     return asked.join(c.tags.select("slug"), "slug", "left_anti")
 
 
-@query("select p.document_id, p.page from t_pages p join t_documents d using (document_id) where d.deleted_at is null")
+@query("""with gone as (select document_id from t_documents where deleted_at is not null)
+select 'document' as part, document_id, case when deleted_at is not null then 'gone' when document_id % 5 = 0 then 'marked' else 'live' end as fate, 1 as n from t_documents
+union all select 'pages', document_id, 'kept', count(*) from t_pages where document_id not in (from gone) group by document_id
+union all select 'chunks', document_id, 'kept', count(*) from t_chunks where document_id not in (from gone) group by document_id
+union all select 'extractions', document_id, 'kept', count(*) from t_versions where document_id not in (from gone) group by document_id""")
 def soft_delete(c):
-    """Hard deletion of what is marked deleted: no page of it stays."""
+    """Deletion first marks a document. What has been marked before is purged, with its pages, chunks and extractions."""
+    asked = c.documents.filter("document_id % 5 = 0").select("document_id", F.lit(True).alias("asked"))
     gone = c.documents.filter("deleted_at is not null").select("document_id")
-    return c.pages.join(gone, "document_id", "left_anti").select("document_id", "page")
+    fate = F.when(F.col("deleted_at").isNotNull(), "gone").when(F.col("asked"), "marked").otherwise("live")
+    found = c.documents.join(asked, "document_id", "left").select(F.lit("document").alias("part"), "document_id", fate.alias("fate"), F.lit(1).cast("long").alias("n"))
+    for part, rows in (("pages", c.pages), ("chunks", c.chunks), ("extractions", c.versions)):
+        kept = rows.select("document_id").join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("n"))
+        found = found.unionByName(kept.select(F.lit(part).alias("part"), "document_id", F.lit("kept").alias("fate"), "n"))
+    return found
 
 
 @query(f"select id, status, case when status = 'delivered' then strftime(created_at + interval 2 second, '%Y-%m-%d %H:%M:%S') end as delivered_at from t_deliveries where created_at < timestamp '{AT}'")
@@ -143,7 +185,11 @@ def delivery_complete(c):
     return c.deliveries.filter(F.col("created_at") < as_of(AT)).select("id", "status", at.alias("delivered_at"))
 
 
-@query()
+@query("""with recursive claims as (select id, document_id || ':' || event_type as key, floor(epoch(created_at))::bigint as made from t_events),
+c as (select *, row_number() over (partition by key order by made, id) as nth from claims),
+fold as (select key, nth, id, made + 259200 as until, true as won from c where nth = 1
+ union all select c.key, c.nth, c.id, case when c.made >= f.until then c.made + 259200 else f.until end, c.made >= f.until from fold f join c on c.key = f.key and c.nth = f.nth + 1)
+select key, id, won from fold""")
 def idempotency_claim(c):
     """The first request of each key wins, and again once its time is over (a fold in order of time)."""
     claims = c.events.select(F.concat_ws(":", "document_id", "event_type").alias("key"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("at"), "id", F.lit(86400 * 3).cast("long").alias("ttl"))
@@ -269,11 +315,8 @@ def topk_clamp(c):
 @query(f"with {KNN.format(on='c.tag_id = q.tag_id')} select query_id, document_id, score, rank from ranked where rank <= 3")
 def search_batch(c):
     """A table of queries, each within its own tag."""
-    found = None
-    for tag in [r.tag_id for r in c.tags.select("tag_id").collect()]:  # a small dimension
-        hits = nearest(c.chunks.filter(F.col("tag_id") == tag), c.chunks.filter((F.col("document_id") % 25 == 0) & (F.col("tag_id") == tag)).select(F.col("document_id").alias("query_id"), "embedding"), 3)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    queries = c.chunks.filter("document_id % 25 = 0").select(F.col("document_id").alias("query_id"), "embedding", "tag_id")
+    return nearest(c.chunks, queries, 3, within="tag_id")
 
 
 @query("select document_id, embedding[1] as first, round(list_cosine_similarity(embedding, list_transform(range(1, 65), lambda i: (i % 5)::double)), 6) as score from t_chunks order by score desc, document_id limit 20")
@@ -284,8 +327,8 @@ def dense_topk(c):
 
 @query()
 def search_ann(c):
-    """Approximate neighbours by random hyperplanes, verified by the exact cosine."""
-    return search.approximate(c.chunks, query_vectors(c), 10, 64)
+    """Approximate neighbours by random hyperplanes, verified by the exact cosine; recall is measured against search_dense's method."""
+    return search.approximate(c.chunks, query_vectors(c), 10)
 
 
 @query("select document_id from t_fields group by document_id having count(*) filter (key = 'total' and try_cast(value as double) >= 100000) > 0 and count(*) filter (key = 'status' and value in ('F', 'O')) > 0 and count(*) filter (key = 'customer' and contains(value, '1')) > 0")

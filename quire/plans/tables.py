@@ -1,6 +1,5 @@
 """Scans, sinks, projections and predicates over the corpus."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import relations as R
 from quire.operators import search
+from quire.operators.lineage import cut, shared_folder
 from quire.plans.registry import query
 from quire.sources import blobs
 from quire.sources.corpus import Corpus
@@ -26,9 +26,7 @@ def as_of(text: str = AS_OF):
 
 def scratch(c: Corpus) -> str:
     """A new folder in the cluster's shared folder."""
-    spark = c.spark
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-quire-", dir="/tmp")
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(c.spark)}/tables-{uuid.uuid4().hex}"
 
 
 @query("select document_id, page, text, length(text)::int as char_count from t_pages")
@@ -43,6 +41,27 @@ def scan_tables(c):
     return read(c.spark, folder, "documents").select("document_id", "sha256", "original_filename", "size_bytes", "tag_id", "status", "needs_review", "document_confidence")
 
 
+KEPT_TABLES = {
+    "users": "customer", "tags": "t_tags", "tag_fields": "t_tag_fields", "documents": "t_documents", "document_steps": "t_steps", "document_events": "t_events", "document_pages": "t_pages", "pages": "t_pages",
+    "extraction_versions": "t_versions", "validations": "labels", "chunks": "t_chunks", "webhooks": "t_webhooks", "webhook_deliveries": "t_deliveries", "raw_responses": "t_events", "idempotency_keys": "conversations"}
+
+
+@query(" union all ".join(f"select '{name}' as name, count(*) as n from {source}" for name, source in KEPT_TABLES.items()))
+def scan_every_table(c):
+    """Each table of the model written, and read back by its declared schema."""
+    rows = {
+        "users": c.table("customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("email"), F.lit(True).alias("is_active")), "tags": c.tags, "tag_fields": c.tag_fields, "documents": c.documents,
+        "document_steps": c.steps.withColumnRenamed("updated_at", "finished_at"), "document_events": c.events, "document_pages": c.pages.withColumn("char_count", F.length("text")), "pages": c.pages, "extraction_versions": c.versions,
+        "validations": c.table("labels").withColumnRenamed("doc_id", "document_id"), "chunks": c.chunks, "webhooks": c.webhooks, "webhook_deliveries": c.deliveries, "raw_responses": c.events.withColumnRenamed("payload", "response_text"),
+        "idempotency_keys": c.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.sha2("text", 256).alias("request_hash"))}
+    folder, found = scratch(c), None
+    for name in KEPT_TABLES:
+        append(conform(rows[name], name), folder, name)
+        counted = read(c.spark, folder, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
 @query("select document_id, version, tag_id, key, value, confidence, page from (select *, 1 as version from t_fields)")
 def scan_extractions(c):
     entry = F.struct("key", "value", "confidence", "page", F.lit(None).cast("string").alias("evidence"), F.col("value").isNotNull().alias("valid"), F.expr("cast(array() as array<string>)").alias("validation_errors"))
@@ -89,13 +108,21 @@ def sink_pages_upsert(c):
     return R.upsert(c.pages, new, ["document_id", "page"])
 
 
-@query("""with new as (select document_id, max(version) + 1 as version from t_versions group by document_id union all select document_id, 1 from t_versions where version = 1 and document_id % 10 = 0),
-every as (select document_id, version from t_versions union all select * from new)
-select document_id, version::int as version, count(*) as n from every group by all having count(*) > 1""")
+@query("""with new as (select document_id, max(version) + 1 as version from t_versions group by document_id union all select document_id, 1 from t_versions where version = 1 and document_id % 10 = 0)
+select document_id, version::int as version, 'stored' as outcome from t_versions
+union all select document_id, version::int, case when (document_id, version) in (select (document_id, version) from t_versions) then 'refused' else 'appended' end from new""")
 def sink_extractions_append(c):
-    old = c.versions.select("document_id", "version")
-    new = old.groupBy("document_id").agg((F.max("version") + 1).alias("version")).unionByName(old.filter("version = 1 and document_id % 10 = 0"))
-    return R.duplicate_keys(old.unionByName(new), ["document_id", "version"])
+    """Versions are immutable: one that is there already is refused, the others are appended. What is stored is read back."""
+    folder = scratch(c)
+    append(conform(c.versions, "extraction_versions"), folder, "extraction_versions")
+    old = read(c.spark, folder, "extraction_versions").select("document_id", "version")
+    new = old.groupBy("document_id").agg((F.max("version") + 1).cast("int").alias("version")).unionByName(old.filter("version = 1 and document_id % 10 = 0"))
+    told = cut(R.admit(old, new, ["document_id", "version"], [F.col("version")]))
+    append(conform(told.filter("outcome = 'appended'"), "extraction_versions"), folder, "extraction_versions")
+    stored = read(c.spark, folder, "extraction_versions").select("document_id", "version")
+    fresh = told.filter("outcome = 'appended'").select("document_id", "version", "outcome")
+    seen = stored.join(fresh, ["document_id", "version"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("stored")))
+    return seen.unionByName(told.filter("outcome = 'refused'").select("document_id", "version", "outcome"))
 
 
 @query(f"select id, document_id, payload from t_events where created_at > timestamp '{AS_OF}' - interval 10 day")
@@ -205,6 +232,14 @@ def tag_by_slug(c):
     return docs.join(c.tags, F.lower("slug") == F.lower("asked")).select("document_id", "tag_id")
 
 
+@query("select o_orderkey, c_custkey as user_id from orders join customer on lower(c_name || '@Example.com') = lower(upper('CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') || '@example.COM'))")
+def user_by_email(c):
+    """Addresses are compared without regard to case."""
+    users = c.table("customer").select(F.col("c_custkey").alias("user_id"), F.concat("c_name", F.lit("@Example.com")).alias("email"))
+    asked = c.table("orders").select("o_orderkey", F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("@example.COM")).alias("email"))
+    return asked.withColumn("email", F.lower("email")).join(users.withColumn("email", F.lower("email")), "email").select("o_orderkey", "user_id")
+
+
 @query("select webhook_id, array_to_string(events, ',') as events from t_webhooks where is_active")
 def active_webhooks(c):
     return c.webhooks.filter("is_active").select("webhook_id", F.array_join("events", ",").alias("events"))

@@ -183,6 +183,22 @@ def search_key(c):
     return c.table("conversations").select("conv_id", "turn", F.sha2(F.concat_ws("|", F.lit("search"), F.lower(F.trim("text")), F.lit("hybrid"), F.lit("10"), "role"), 256).alias("key"))
 
 
+REQUEST = "sha256('POST|/conversations/' || conv_id || '|' || {})"
+
+
+@query(f"""with asked as (select conv_id, turn, {REQUEST.format("lower(trim(text))")} as request_hash, case when turn % 3 = 0 then conv_id || ':' || turn else conv_id || ':x' end as key from conversations)
+select conv_id, turn, request_hash, case when turn = min(turn) over w then 'first' when request_hash = first_value(request_hash) over (partition by key order by turn) then 'replay' else 'conflict' end as outcome
+from asked window w as (partition by key)""")
+def request_hash(c):
+    """The first request under a key is stored; an equal one later is answered from the store, another one is a conflict."""
+    body = F.concat(F.lit("POST|/conversations/"), "conv_id", F.lit("|"), F.lower(F.trim("text")))
+    key = F.when(F.col("turn") % 3 == 0, F.concat("conv_id", F.lit(":"), "turn")).otherwise(F.concat("conv_id", F.lit(":x")))
+    asked = c.table("conversations").select("conv_id", "turn", F.sha2(body, 256).alias("request_hash"), key.alias("key"))
+    stored = asked.groupBy("key").agg(F.min("turn").alias("first"), F.min_by("request_hash", "turn").alias("stored"))
+    outcome = F.when(F.col("turn") == F.col("first"), "first").when(F.col("request_hash") == F.col("stored"), "replay").otherwise("conflict")
+    return asked.join(stored, "key").select("conv_id", "turn", "request_hash", outcome.alias("outcome"))
+
+
 @query("select document_id, page, contains(text, split_part(text, ' ', 3)) as verbatim, contains(text, upper(split_part(text, ' ', 1)) || '?!') as altered from t_pages where text <> ''")
 def evidence_valid(c):
     part = lambda n: F.split_part("text", F.lit(" "), F.lit(n))

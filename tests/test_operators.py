@@ -166,9 +166,9 @@ def test_approximate_search_finds_what_is_near(spark):
     rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([near, draw.standard_normal((400, 32))]))] + [(900, None)], "document_id long, embedding array<double>")
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "query_id long, embedding array<double>")
     exact = {(r.query_id, r.document_id) for r in nearest(rows_, asked, 5).collect()}
-    found = {(r.query_id, r.document_id) for r in search.approximate(rows_, asked, 5, 32).collect()}
+    found = {(r.query_id, r.document_id) for r in search.approximate(rows_, asked, 5).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
-    assert search.approximate(rows_.limit(0), asked, 5, 32).count() == 0
+    assert search.approximate(rows_.limit(0), asked, 5).count() == 0
 
 
 def test_text_functions(spark):
