@@ -1,9 +1,9 @@
-"""What several operators share: table reading and cutting of lineage."""
-
-import tempfile
+"""What several operators share: table reading, cutting of lineage and passing of columns."""
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.operators.lineage import cut as cut
+
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -13,20 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-quire-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
 def passing(docs: DataFrame, needed: list[str]):
     """docs with all columns but the needed ones renamed out of the way, and a function that gives a
     result of such rows the columns of docs again, by name and order."""

@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 
-from quire.llm import components, hamming, minhash, vector_dedup
+from quire.llm import hamming, minhash, vector_dedup
 from quire.llm.shingles import SEGMENT, Shingler
+from quire.operators import components
 
 DOCS = "doc_id long, text string"
 
