@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def passing(docs: DataFrame, needed: list[str]):
     """docs with all columns but the needed ones renamed out of the way, and a function that gives a
-    result of such rows the columns of docs again, by name and order."""
+    result of such rows the columns of docs again, by name and order; columns it adds replace those of their names."""
     names = {c: c if c in needed else f"_passed_{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select(*[docs[c].alias(n) for c, n in names.items()])
-    return safe, lambda df: df.select(*[df[n].alias(c) for c, n in names.items()])
+    return safe, lambda df, added=(): df.select(*[df[n].alias(c) for c, n in names.items() if c not in added], *added)

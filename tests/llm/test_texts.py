@@ -244,18 +244,35 @@ URLS = ["http://WWW.Example.COM/en/x?y#z", "https://example.com/en/", "https://e
 
 def test_url_rules_and_cascade(spark, sf_dir):
     urls = URLS + [f"http://{'track' if i % 3 == 0 else 'h'}{'.' if i % 2 else ''}{i}.org/{i}" for i in range(300)]
-    got = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string"), url_filter.ad_host()).collect()
-    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: judged(u) for i, u in enumerate(urls)}
-    beyond = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string"), url_filter.ad_host(), max_bits=1).collect()
-    assert sorted(beyond) == sorted(got)
-    assert url_filter.judge(spark.createDataFrame([], "page_id int, url string"), url_filter.ad_host()).count() == 0
-
-
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    want = {i: judged(u) for i, u in enumerate(urls)}
+    # One part; many parts sent along; many parts beside their rows by a shuffle.
+    for part_keys, most in ((2048, 8 << 20), (8, 8 << 20), (8, 0)):
+        got = url_filter.judge(pages, url_filter.ad_host(), part_keys=part_keys, most=most).collect()
+        assert len(got) == len(want) and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
+    assert url_filter.judge(pages.limit(0), url_filter.ad_host()).count() == 0
+
+
+def test_listed_hosts_as_a_table_and_clashing_columns(spark):
+    extra = {c: F.lit(9) for c in ("host", "verdict", "_part", "_copy", "key", "listed", "n", "_level_1")}
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/x" if i % 3 else "http://hot.org/") for i in range(200)] + [(200, None), (200, None)], "page_id int, url string").withColumns(extra)
+    listed = spark.createDataFrame([("h1.org",), ("h1.org",), ("hot.org",), ("absent.org",), (None,)], "host string")
+    for part_keys, most in ((2048, 8 << 20), (1, 0)):
+        got = url_filter.judge(pages, listed, part_keys=part_keys, most=most)
+        assert sorted(got.columns) == sorted({*pages.columns, "host", "path", "rule", "verdict"})
+        rows = got.collect()
+        assert len(rows) == 202 and {r._part for r in rows} == {9}
+        assert all((r.verdict == "block") == (r.host in ("h1.org", "hot.org")) for r in rows)
+
+
+@pytest.mark.parametrize("part_keys", [2048, 16])
 @pytest.mark.parametrize(("listed", "others"), [(0, 50), (50, 0), (40, 4000), (300, 300)])
-def test_cascade_is_exact_on_its_universe(spark, listed, others):
-    universe = spark.createDataFrame([(f"k{i}", i < listed) for i in range(listed + others)], "key string, listed boolean")
-    cascade = url_filter.build_cascade(universe)
-    assert universe.filter(cascade.lists(F.col("key")) != F.col("listed")).count() == 0
+def test_cascade_is_exact_on_its_universe(spark, listed, others, part_keys):
+    universe = spark.createDataFrame([(f"k{i}", i < listed, 1) for i in range(listed + others)], "key string, listed boolean, n long")
+    cascade = url_filter.build_cascade(universe, part_keys)
+    beside = cascade.beside(universe, F.col("key"))
+    assert beside.count() == listed + others
+    assert beside.filter(cascade.lists(F.col("key")) != F.col("listed")).count() == 0
 
 
 # A model by hand, in the message format of model files: pieces, kind and normaliser.
