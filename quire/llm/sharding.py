@@ -11,8 +11,10 @@ round is on (group, first shard) pieces, at most n_shards of them a group howeve
 At last, documents in excess of a shard's exact quota (unlinked ones first) fill the gaps of
 others. The law is `rows`: counts are at most one apart.
 
-Edge cases: null texts are one group, of size 1 each and checksum 0; empty texts are another.
-Null or repeated doc_ids are documents of their own. An empty table gives no rows.
+Edge cases: null texts are one group, of size 1 each and checksum 0; empty texts are another. Texts of
+any length count whole. Null or repeated doc_ids are documents of their own; of rows equal in doc_id
+and text, which of them comes first is open, and their results are alike. Other columns are not
+read, whatever their names. An empty table gives no rows.
 """
 
 from pyspark.sql import DataFrame
@@ -22,8 +24,9 @@ from pyspark.sql import Window as W
 from quire.llm.common import cut, table
 
 N_SHARDS, ROUNDS = 16, 4
-#: Documents of a shard are numbered within GROUP_BUCKETS * SUB_BUCKETS buckets at a time.
-GROUP_BUCKETS, SUB_BUCKETS = 64, 64
+#: Documents of a shard are numbered within buckets: GROUP_BUCKETS for linked ones and two more, each dealt by
+#: a hash over as many as keep about BUCKET_ROWS rows in one, if all were in the same (SUB_BUCKETS at least).
+GROUP_BUCKETS, SUB_BUCKETS, BUCKET_ROWS = 64, 64, 20_000
 #: A group larger than a shard is laid out in so many parts.
 PARTS = 1024
 SMALL = 64
@@ -129,13 +132,14 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> D
         rows = rows.withColumn("home", F.lit(None).cast("int"))
     first = pieces.join(linked.filter(F.col("of") <= quota[0]), "group").select("group", "piece", "n", start.alias("shard"))
     moved = propagate(first, quota[0], n_shards, rounds, taken).select("group", "piece", "shard")
+    deals = max(SUB_BUCKETS, -(-total // (n_shards * BUCKET_ROWS)))
     labelled = cut(rows.join(moved, ["group", "piece"], "left").select(
         "doc_id", "size", "text_crc32",
         F.coalesce("home", "shard", "piece").alias("shard"),
-        F.xxhash64("doc_id", F.lit(7)).alias("draw"),
+        F.xxhash64("doc_id", "group", F.lit(7)).alias("draw"),
         # What comes last goes first where a shard is too full: unlinked documents, then those of groups in several shards anyway.
         F.when(F.col("home").isNotNull(), GROUP_BUCKETS).when(F.col("shard").isNull(), GROUP_BUCKETS + 1).otherwise(F.pmod(F.xxhash64("group"), F.lit(GROUP_BUCKETS))).alias("kind"),
-    ).withColumn("bucket", (F.col("kind") * SUB_BUCKETS + F.pmod("draw", F.lit(SUB_BUCKETS))).cast("int")))
+    ).withColumn("bucket", F.col("kind").cast("long") * deals + F.pmod("draw", F.lit(deals))))
     sizes = labelled.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     held = dict.fromkeys(range(n_shards), 0)
