@@ -4,21 +4,27 @@ Vectors are compared within a label (and dimension) only. Equal vectors are one
 a label are dealt to overlapping shards: those of their OVERLAP nearest pivots. In each shard a
 flat graph is built by inserting nodes in batches of growing size: a greedy search from the medoid
 finds candidates, robust pruning keeps MAX_DEGREE of them that point in different directions, and
-reverse edges are added and pruned likewise. A node's lists from all its shards are united. On the
-united graph, each node is searched for: greedily from the medoid (and from itself), and where
-that comes within range, the range is expanded along edges as long as they lead to nodes in range.
-Every link is verified by its cosine in double precision; a pair in several shards counts in the
-first of them. A sample of nodes is compared with all vectors to audit recall; below LEAST_RECALL
-the shards are dealt again with more overlap.
+reverse edges are added and pruned likewise. A node's lists from all its shards are united. In
+each of its shards, on that shard's part of the united graph, each node is searched for: greedily
+from the medoid (and from itself), and where that comes within range, the range is expanded along
+edges as long as they lead to nodes in range. Every link is verified by its cosine in double
+precision; a pair in several shards counts in the first of them.
+
+Each round's recall is audited: AUDIT nodes of any kind and AUDIT nodes with links are compared with
+all vectors. Below LEAST_RECALL the shards are dealt again with more overlap, ROUNDS times in all;
+labels that are still below it then are compared exactly, in pairs of blocks.
 
 A shard of more than MAX_SHARD nodes is worked on in pairs of blocks, so no task holds more.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those
 without a label, link with nothing: n_links 0, their own component, kept. Null vec_ids too, with a
 null component. Repeated rows are vectors of their own; if they share a vec_id, they count as each
-other's links but give one component. An empty table gives no rows.
+other's links but give one component. Components take the smallest id, so ties cannot occur. Other
+columns are not read, whatever their names. An empty table gives no rows.
 """
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +37,7 @@ from quire.operators.components import components
 
 OVERLAP, SHARD, MAX_SHARD, MAX_PIVOTS, ALL_PIVOTS = 4, 1000, 2048, 4096, 65_536
 MAX_DEGREE, BEAM, CANDIDATES, ALPHA = 16, 32, 64, 1.2
-AUDIT, LEAST_RECALL = 200, 0.999
+AUDIT, LEAST_RECALL, ROUNDS = 200, 0.999, 3
 
 
 def beam_search(x, graph, queries, starts, width):
@@ -146,6 +152,14 @@ def in_range(x, graph, least):
             yield int(node), np.concatenate(found) if found else ids[:0]
 
 
+def all_in_range(x, least):
+    """For each node all others within range, by products of blocks."""
+    for at in range(0, len(x), 256):
+        for node, hit in enumerate(x[at : at + 256] @ x.T >= least, at):
+            hit[node] = False
+            yield node, np.flatnonzero(hit)
+
+
 def unit(rows) -> np.ndarray:
     x = np.stack([np.asarray(r, np.float64) for r in rows])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -160,6 +174,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.withColumns({"size": F.size("vector"), "h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
 
 
+log = logging.getLogger(__name__)
+
 KEY = ["label", "size", "h1", "h2"]
 
 
@@ -220,8 +236,10 @@ def build(task_rows: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def search(task_rows: DataFrame, least: float) -> DataFrame:
-    """task_rows with near. Per node and task: n (vectors linked, that this task counts) and root, a linked node."""
+def search(task_rows: DataFrame, least: float, exact: bool = False) -> DataFrame:
+    """task_rows with near. Per node and task: n (vectors linked, that this task counts) and root, a linked node.
+
+    exact: compare all of a task's nodes instead of searching its graph."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
@@ -235,7 +253,7 @@ def search(task_rows: DataFrame, least: float) -> DataFrame:
         shard, low, high, block = pdf.shard[0], pdf.low[0], pdf.high[0], pdf.block.to_numpy()
         own = np.argmax(shards == shard, axis=1)
         counts, pairs = np.zeros(len(x), np.int64), []
-        for i, js in in_range(x, graph, least):
+        for i, js in all_in_range(x, least) if exact else in_range(x, graph, least):
             js = js[(np.minimum(block[js], block[i]) == low) & (np.maximum(block[js], block[i]) == high)]
             if own[i] and len(js):  # the pair counts in the first shard that both are in
                 js = js[~np.isin(shards[js], shards[i, : own[i]]).any(axis=1)]
@@ -260,9 +278,14 @@ def search(task_rows: DataFrame, least: float) -> DataFrame:
     return task_rows.select("task", "shard", "low", "high", "block", "node", "copies", "vector", "shards", "near").groupBy("task").applyInPandas(run, "node long, n long, root long")
 
 
-def audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the links of a sample of nodes (AUDIT of them, by a hash) that were found, against all nodes."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(4)), "node").limit(AUDIT).select("label", "size", "node", "vector").collect()
+def audit(nodes: DataFrame, found: DataFrame, least: float) -> list[tuple]:
+    """(label, size, true, got): the links of a sample of nodes, against all nodes, and those of them that were found.
+
+    The sample, by a hash, is AUDIT nodes of any kind and AUDIT nodes for which links were found."""
+    got = found.groupBy("node").agg(F.sum("n").alias("n"))
+    drawn = nodes.select("label", "size", "node", "vector").orderBy(F.xxhash64("node", F.lit(4)), "node")
+    sample = {(r.label, r.size, r.node): r for r in drawn.limit(AUDIT).collect() + drawn.join(got.filter("n > 0"), "node", "left_semi").select(
+        "label", "size", "node", "vector").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(AUDIT).collect()}.values()
     by_key: dict = {}
     for r in sample:
         by_key.setdefault((r.label, r.size), []).append((r.node, r.vector))
@@ -270,7 +293,7 @@ def audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
 
     def run(batches):
         for batch in batches:
-            total: dict[int, int] = {}
+            total: dict[tuple, int] = {}
             labels, dims, ids, copies, vectors = (batch.column(c).to_pylist() for c in ("label", "size", "node", "copies", "vector"))
             groups: dict = {}
             for i, key in enumerate(zip(labels, dims, strict=True)):
@@ -283,26 +306,42 @@ def audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
                     hit = unit([vectors[i] for i in part]) @ x.T >= least
                     hit &= np.array([ids[i] for i in part])[:, None] != nodes
                     for node, n in zip(nodes.tolist(), (hit * np.array([copies[i] for i in part])[:, None]).sum(axis=0).tolist(), strict=True):
-                        total[node] = total.get(node, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "true"])
+                        total[*key, node] = total.get((*key, node), 0) + n
+            label = pa.array([k[0] for k in total], batch.schema.field("label").type)
+            yield pa.RecordBatch.from_arrays([label, pa.array([k[1] for k in total], pa.int32()), pa.array([k[2] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["label", "size", "node", "true"])
 
-    true = nodes.select("label", "size", "node", "copies", "vector").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = found.groupBy("node").agg(F.sum("n").alias("n"))
-    r = true.join(got, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return r[1] / r[0] if r[0] else 1.0
+    kind = nodes.schema["label"].dataType.simpleString()
+    true = nodes.select("label", "size", "node", "copies", "vector").mapInArrow(run, f"label {kind}, size int, node long, true long")
+    true = true.groupBy("label", "size", "node").agg(F.sum("true").alias("true"))
+    each = true.join(got, "node", "left").groupBy("label", "size").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("got"))
+    return [tuple(r) for r in each.collect()]  # 2 * AUDIT rows at most
+
+
+def compare_all(nodes: DataFrame, least: float) -> DataFrame:
+    """What search returns, with each label as one shard and its pairs of blocks compared exactly."""
+    whole = nodes.select("node", "copies", "vector", F.array(F.xxhash64("label", "size")).alias("shards"))
+    return search(in_tasks(whole).withColumn("near", F.array().cast("array<long>")), least, exact=True)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vectors: vec_id, embedding, label. Per row: vec_id, n_links, component_id, kept."""
     good = usable(vectors)
     nodes = cut(good.groupBy(*KEY).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
-    overlap = OVERLAP
-    while True:
-        tasks = cut(in_tasks(shard_rows(nodes, overlap)))
+    for number in range(ROUNDS):
+        tasks = cut(in_tasks(shard_rows(nodes, OVERLAP << number)))
         found = cut(search(tasks.join(build(tasks), "node"), least))
-        if overlap >= 4 * OVERLAP or audit(nodes, found, least) >= LEAST_RECALL:
+        audited = audit(nodes, found, least)
+        recall = sum(got for *_, got in audited) / max(1, sum(true for *_, true, _ in audited)) if any(true for *_, true, _ in audited) else 1.0
+        log.info("overlap %d: recall %.4f of %d links", OVERLAP << number, recall, sum(true for *_, true, _ in audited))
+        if recall >= LEAST_RECALL:
             break
-        overlap *= 2
+    else:
+        low = F.lit(False)
+        for label, size, true, got in audited:
+            if got < LEAST_RECALL * true:
+                low = low | ((F.col("label") == F.lit(label)) & (F.col("size") == size))
+        again = nodes.filter(low)
+        found = cut(found.join(again.select("node"), "node", "left_anti").select(*found.columns).union(compare_all(again, least)))
     links = found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     joined = components(links)
     per_node = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import hamming, minhash, vector_dedup
 from quire.llm.shingles import SEGMENT, Shingler
@@ -95,9 +96,12 @@ def test_components_of_paths_stars_and_rings(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-@pytest.mark.parametrize("shard", [1000, 60])
-def test_vector_links_equal_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "recall", "blocks"), [(1000, 0.999, 2048), (60, 0.999, 2048), (60, 1.1, 64)])
+def test_vector_links_equal_brute_force(spark, monkeypatch, shard, recall, blocks):
+    """In one shard a label, in several, and where no round's recall is enough, so that all labels end in blocks."""
     monkeypatch.setattr(vector_dedup, "SHARD", shard)
+    monkeypatch.setattr(vector_dedup, "LEAST_RECALL", recall)
+    monkeypatch.setattr(vector_dedup, "MAX_SHARD", blocks)
     draw = np.random.default_rng(5)
     rows, n = [], 0
     for group in range(40):
@@ -144,3 +148,16 @@ def test_hamming_search_equals_brute_force(spark, dim):
         got = sorted(tuple(r) for r in hamming.top_k(df, df.id % 50 == 0, 7, block, group).collect())
         assert got == sorted(want)
     assert hamming.top_k(df.limit(0), df.id % 50 == 0).count() == 0
+
+
+def test_the_audit_counts_what_is_missed(spark):
+    draw = np.random.default_rng(8)
+    rows = [(10 * g + i, (b + 0.02 * draw.standard_normal(12)).astype(np.float32).tolist(), g % 2) for g in range(20) for b in [draw.standard_normal(12)] for i in range(3)]
+    good = vector_dedup.usable(spark.createDataFrame(rows, VECTORS))
+    nodes = good.groupBy(*vector_dedup.KEY).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    exact = vector_dedup.compare_all(nodes, 0.93)
+    assert sorted(vector_dedup.audit(nodes, exact, 0.93)) == [(0, 12, 60, 60), (1, 12, 60, 60)]
+    part = exact.withColumn("n", F.when(F.col("node") < 10, 1).otherwise(F.col("n")).cast("long"))
+    assert sorted(vector_dedup.audit(nodes, part, 0.93)) == [(0, 12, 60, 57), (1, 12, 60, 60)]
+    none = exact.limit(0)
+    assert sorted(vector_dedup.audit(nodes, none, 0.93)) == [(0, 12, 60, 0), (1, 12, 60, 0)]
