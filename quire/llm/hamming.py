@@ -13,7 +13,8 @@ and the k best of all blocks are kept. So nothing grows with pairs, and no code
 Ties go to the smaller id. Edge cases: vectors that are null, empty, or hold nulls have no code and
 are neither found nor queried; nan counts as not positive. Codes are compared between vectors of
 one dimension only. A query does not find its own row; a repeated row (same id) is not found by it
-either. With fewer than k others, all are returned. An empty table gives no rows.
+either. With fewer than k others, all are returned. An empty table gives no rows. Other columns are
+not read, whatever their names.
 """
 
 from itertools import combinations
@@ -27,8 +28,13 @@ from pyspark.sql import Window as W
 from quire.llm.common import cut, table
 
 K, EVERY = 10, 50
-#: Rows of a block of data, and of a group of queries.
-BLOCK, GROUP = 100_000, 2_000
+#: Rows of a block of data, and of a group of queries. Data is copied once a group, so groups are large; both
+#: are codes of a few words, so a cell of the grid takes some tens of MB.
+BLOCK, GROUP = 100_000, 50_000
+#: Rows that are worth a block of their own while cores are idle.
+SPREAD = 5_000
+#: Queries of a cell that are searched before their results are packed.
+BATCH = 1_000
 
 
 def coded(vectors: DataFrame) -> DataFrame:
@@ -108,7 +114,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, group: i
     """vectors: id, embedding; is_query: condition on id. Per query and neighbour: query_id, rank (from 1), id, distance."""
     codes = cut(coded(vectors))
     n = codes.count()
-    blocks, groups = max(1, -(-n // block)), max(1, -(-codes.filter(is_query).count() // group))
+    spread = min(codes.sparkSession.sparkContext.defaultParallelism, n // SPREAD)  # few rows still keep all cores busy
+    blocks, groups = max(1, spread, -(-n // block)), max(1, -(-codes.filter(is_query).count() // group))
     data = codes.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "bits", "id", "code")
     # Of equal codes in a block only the k + 1 smallest ids can be among the k nearest of a query.
     few = W.partitionBy("block", "bits", "code").orderBy("id")
@@ -127,8 +134,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, group: i
         order = np.argsort(entry, kind="stable")
         count = np.bincount(entry, minlength=len(distinct))
         first, ids = np.cumsum(count) - count, data.id.to_numpy()[order]
-        index, out = Index(distinct, int(data.bits[0])), []
-        for query, code in zip(queries.id, queries.code, strict=True):
+        index, out, part = Index(distinct, int(data.bits[0])), [], []
+        for number, (query, code) in enumerate(zip(queries.id, queries.code, strict=True), 1):
             # One more than k, as the query itself may be among them.
             e, d = index.search(np.asarray(code, np.int64).view(np.uint64), count, k + 1)
             steps = np.arange(count[e].sum()) - np.repeat(np.cumsum(count[e]) - count[e], count[e])
@@ -136,8 +143,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, group: i
             other = found != query
             found, far = found[other], far[other]
             best = np.lexsort((found, far))[:k]
-            out.append(pd.DataFrame({"query_id": query, "id": found[best], "distance": far[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            part.append(np.stack([np.full(len(best), query), found[best], far[best]]))
+            if number % BATCH == 0 or number == len(queries):
+                out.append(np.concatenate(part, axis=1))
+                part = []
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query_id", "id", "distance"])
 
     cells = ["block", "group", "bits"]
     local = data.groupBy(*cells).cogroup(queries.groupBy(*cells)).applyInPandas(run, "query_id long, id long, distance long")
