@@ -162,10 +162,23 @@ def ingest_manifest(c):
     return blobs.manifest(c.documents.filter("text is not null").select("document_id", "original_filename", F.col("text").cast("binary").alias("content")))
 
 
-@query()
+#: Mean entries and bytes of an archive that packing aims at, well within the limits of expansion.
+PACK_ENTRIES, PACK_BYTES = 250, 64 << 20
+
+
+@query(f"""with d as (select document_id, coalesce(source, '') as source, coalesce(original_filename, document_id || '.txt') as name, coalesce(text, '') as text from t_documents),
+parts as (select source, greatest(ceil(count(*) / {PACK_ENTRIES}), ceil(sum(strlen(text)) / {PACK_BYTES}), 1)::bigint as n from d group by source)
+select source || '/' || (('0x' || substr(md5(document_id::varchar), 1, 8))::bigint % n) as archive, name, strlen(text)::int as size, sha256(text) as sha256, null::varchar as problem from d join parts using (source)""")
 def expand_archives(c):
-    """Documents packed into archives (by source) and expanded again under the limits."""
-    packed = blobs.pack(c.documents.select(F.concat("source", F.lit("/"), (F.col("document_id") % 64).cast("string")).alias("archive"), F.concat("original_filename", F.lit("")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    """Documents packed into archives and expanded again under the limits.
+
+    A source has as many archives as its documents and bytes need, so archives (and the tasks that hold
+    one each) do not grow with it; a hash of the id deals the documents out."""
+    text = F.coalesce("text", F.lit(""))
+    docs = c.documents.select("document_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("original_filename", F.concat("document_id", F.lit(".txt"))).alias("name"), text.cast("binary").alias("content"))
+    parts = docs.groupBy("source").agg(F.greatest(F.ceil(F.count("*") / PACK_ENTRIES), F.ceil(F.sum(F.length("content")) / PACK_BYTES), F.lit(1)).alias("n"))
+    part = F.conv(F.substring(F.md5(F.col("document_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
+    packed = blobs.pack(docs.join(parts, "source").select(F.concat("source", F.lit("/"), part.cast("string")).alias("archive"), "name", "content"))
     return blobs.expand(packed).select("archive", "name", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"), "problem")
 
 
