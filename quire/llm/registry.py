@@ -14,6 +14,7 @@ OPERATORS = {
     "op8_html_extraction": "html_text",
     "op9_vector_dedup": "vector_dedup",
     "op10_hamming_search": "hamming",
+    "op11_packing": "packing",
     "op13_filter_audit": "filter_audit",
 }
 
