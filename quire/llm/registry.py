@@ -15,6 +15,7 @@ OPERATORS = {
     "op9_vector_dedup": "vector_dedup",
     "op10_hamming_search": "hamming",
     "op11_packing": "packing",
+    "op12_spelling": "spelling",
     "op13_filter_audit": "filter_audit",
 }
 
