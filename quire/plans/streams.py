@@ -7,7 +7,7 @@ from quire.operators import chunking, hooks, state
 from quire.plans.registry import query
 from quire.plans.tables import as_of, scratch
 from quire.sources.tables import retain
-from quire.streaming import streams
+from quire.streaming import steps, streams
 
 SENTENCES = r"""sents as (select document_id, page, (i - 1)::int as place, s[i] as sentence from (select document_id, page, s, unnest(range(1, len(s) + 1)) as i from
  (select document_id, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\f\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as s from t_pages)))"""
@@ -116,12 +116,46 @@ def stream_webhook_health(c):
         restore()
 
 
-@query()
+#: Longer times than the defaults, as the events lie hours apart.
+STEP_RULES = steps.Rules(max_attempts=3, stuck_s=216_000, backoff_s=21_600, longest_s=100_000, ttl_s=864_000)
+STREAM_FROM = "2024-01-12 00:00:00"
+_R, _US = STEP_RULES, 1_000_000
+STEP_SQL = f"""with recursive told as (select document_id, step, id, epoch_us(created_at) as us, event_type as kind from t_events),
+bounds as (select (max(us) // 1000 - 3600000) * 1000 as upto from told),
+e as (select *, row_number() over (partition by document_id, step order by us, id) as nth from told where kind <> 'validated' and us <= (select upto from bounds)),
+fold as (select distinct document_id, step, 0::bigint as nth, 0::bigint as id, 0::bigint as us, '' as cause, 'pending' as status, 0 as attempt, null::bigint as changed, null::bigint as due,
+  false as fired, false as ok, '' as status1, 0::bigint as changed1 from e
+ union all select document_id, step, nth, id, us, kind, case when not ok then status2 when kind = 'step_started' then 'running' when kind = 'step_succeeded' then 'succeeded' when kind = 'step_failed' and attempt2 >= {_R.max_attempts} then 'failed' else 'pending' end,
+  case when not ok then attempt2 when kind = 'uploaded' then 0 when kind = 'step_started' then attempt2 + 1 else attempt2 end, case when ok then us when gone then null else changed1 end,
+  case when ok and kind = 'step_failed' and attempt2 < {_R.max_attempts} then us + least({_R.backoff_s} * (1 << attempt2), {_R.longest_s})::bigint * {_US} when not ok then due1 end, fired, ok, status1, changed1
+  from (select *, kind = 'uploaded' or (kind = 'step_started' and status2 = 'pending' and due1 is null and attempt2 < {_R.max_attempts}) or (kind in ('step_succeeded', 'step_failed') and status2 = 'running') as ok
+   from (select *, case when gone then 'pending' else status1 end as status2, case when gone then 0 else attempt end as attempt2
+    from (select *, coalesce(status1 <> 'running' and due1 is null and changed1 + {_R.ttl_s * _US} <= us, false) as gone
+     from (select e.document_id, e.step, e.nth, e.id, e.us, e.kind, f.attempt, FIRED))))),
+ends as (select *, row_number() over (partition by document_id, step order by nth desc) as back from fold),
+rest as (select FINAL),
+changes as (select document_id, step, us, id, cause, status, attempt from fold where ok
+ union all select f.document_id, f.step, f.changed1, null, case when p.status = 'running' then 'stuck' else 'retry_due' end, f.status1, p.attempt from fold f join fold p on f.document_id = p.document_id and f.step = p.step and f.nth = p.nth + 1 where f.fired
+ union all select document_id, step, changed1, null, case when before = 'running' then 'stuck' else 'retry_due' end, status1, attempt from rest where fired)
+select document_id, step, us as at_us, id, cause, status, attempt from changes where us > epoch_us(timestamp '{STREAM_FROM}')"""
+_PASSED = f"""case when f.status = 'running' and f.changed + {_R.stuck_s * _US} <= NOW then case when f.attempt < {_R.max_attempts} then 'pending' else 'failed' end else f.status end as status1,
+      case when f.status = 'running' and f.changed + {_R.stuck_s * _US} <= NOW then f.changed + {_R.stuck_s * _US} when f.due <= NOW then f.due else f.changed end as changed1, case when f.due <= NOW then null else f.due end as due1,
+      coalesce((f.status = 'running' and f.changed + {_R.stuck_s * _US} <= NOW) or f.due <= NOW, false) as fired"""
+STEP_SQL = STEP_SQL.replace("FIRED", _PASSED.replace("NOW", "e.us") + " from fold f join e on f.document_id = e.document_id and f.step = e.step and e.nth = f.nth + 1")
+STEP_SQL = STEP_SQL.replace("FINAL", "f.document_id, f.step, f.attempt, f.status as before, " + _PASSED.replace("NOW", "(select upto from bounds)") + " from ends f where back = 1")
+
+
+@query(STEP_SQL)
 def stream_steps(c):
+    """What is before a day is replayed in batch; from there the stream goes on, up to its watermark."""
     restore = rocksdb(c)
     try:
-        events, folder = streamed(c, c.events, "events")
-        return streams.run_to_table(streams.step_machine(events), f"{folder}/out", f"{folder}/state")
+        day = as_of(STREAM_FROM)
+        before = steps.replay(c.events, day, STEP_RULES)
+        events, folder = streamed(c, c.events.filter(F.col("created_at") > day), "events")
+        before.filter("cause = 'state'").write.parquet(f"{folder}/before")
+        found = streams.run_to_table(steps.step_machine(events, "1 hour", STEP_RULES, c.spark.read.parquet(f"{folder}/before")), f"{folder}/out", f"{folder}/state")
+        return found.drop("due").withColumnRenamed("at", "at_us")
     finally:
         restore()
 

@@ -1,4 +1,4 @@
-"""Streams: ingest, windowed metrics, the step machine, health and fan-out.
+"""Streams: ingest, windowed metrics, health and fan-out. (The step machine is in steps.)
 
 Sources are streaming DataFrames with the columns of their batch twins; sinks are the caller's.
 """
@@ -45,61 +45,6 @@ def last_used(requests: DataFrame, width: str = "1 minute", delay: str = "1 minu
     return timed(requests, delay).groupBy(F.window("created_at", width).alias("w"), "key").agg(F.max("created_at").alias("last")).select("key", "last")
 
 
-class StepMachine(StatefulProcessor):
-    """One (document, step): pending -> running -> succeeded, failed or retried; a step that runs for
-    longer than stuck_ms of event time goes back to pending while attempts remain, else fails."""
-
-    def __init__(self, max_attempts: int = 3, stuck_ms: int = 1_800_000):
-        self.max_attempts, self.stuck_ms = max_attempts, stuck_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "status string, attempt int, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempt, timer = self.state.get() if self.state.exists() else ("pending", 0, 0)
-        events = pd.concat(list(rows)).sort_values(["created_at", "id"])
-        out = []
-        for e in events.itertuples():
-            before = status
-            if e.event_type == "step_started" and status == "pending" and attempt < self.max_attempts:
-                status, attempt = "running", attempt + 1
-                if timer:
-                    self.handle.deleteTimer(timer)
-                timer = int(e.created_at.timestamp() * 1000) + self.stuck_ms
-                self.handle.registerTimer(timer)
-            elif e.event_type == "step_succeeded" and status == "running":
-                status = "succeeded"
-            elif e.event_type == "step_failed" and status == "running":
-                status = "pending" if attempt < self.max_attempts else "failed"
-            elif e.event_type == "uploaded":
-                status, attempt = "pending", 0
-            if status != before:
-                out.append((*key, int(e.id), status, attempt))
-        if status != "running" and timer:
-            self.handle.deleteTimer(timer)
-            timer = 0
-        self.state.update((status, attempt, timer))
-        yield pd.DataFrame(out, columns=["document_id", "step", "id", "status", "attempt"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempt, timer = self.state.get()
-        if status == "running" and timer <= expiredTimerInfo.getExpiryTimeInMs():
-            status = "pending" if attempt < self.max_attempts else "failed"
-            self.state.update((status, attempt, 0))
-            yield pd.DataFrame([(*key, -1, status, attempt)], columns=["document_id", "step", "id", "status", "attempt"])
-
-    def close(self) -> None:
-        pass
-
-
-def step_machine(events: DataFrame, delay: str = "1 hour", **how) -> DataFrame:
-    """Changes of status per (document, step). Needs the RocksDB state store."""
-    keyed = timed(events.select("id", "document_id", "step", "event_type", "created_at"), delay).groupBy("document_id", "step")
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=StepMachine(**how), outputStructType="document_id long, step string, id long, status string, attempt int", outputMode="Append", timeMode="EventTime")
-
-
 class FailureCounter(StatefulProcessor):
     """Failures in a row of one webhook; over `most` it is disabled, once."""
 
