@@ -7,7 +7,7 @@ from quire.operators import chunking, hooks, state
 from quire.plans.registry import query
 from quire.plans.tables import as_of, scratch
 from quire.sources.tables import retain
-from quire.streaming import steps, streams
+from quire.streaming import ingest, steps, streams
 
 SENTENCES = r"""sents as (select document_id, page, (i - 1)::int as place, s[i] as sentence from (select document_id, page, s, unnest(range(1, len(s) + 1)) as i from
  (select document_id, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\f\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as s from t_pages)))"""
@@ -57,11 +57,31 @@ def streamed(c, rows, name):
     return streams.read(c.spark, f"{folder}/{name}", rows.schema), folder
 
 
-@query("select count(distinct sha256) as n from t_documents where sha256 is not null")
+HASH_TTL, REQUEST_TTL = 36_000, 120
+INGEST = f"""with recursive uploads as (select document_id as id, case when document_id % 3 > 0 then 'r' || document_id // 4 end as request_key, sha256 as digest, epoch_us(created_at) as us from t_documents where sha256 is not null),
+bounds as (select (max(us) // 1000 - 3600000) * 1000 as upto from uploads), passed as (select * from uploads where us <= (select upto from bounds)),
+asked as (select *, row_number() over (partition by request_key order by us, id) as nth from passed where request_key is not null),
+requests as (select request_key, nth, id, digest, us, id as holder, digest as held, us + {REQUEST_TTL}000000 as until from asked where nth = 1
+ union all select a.request_key, a.nth, a.id, a.digest, a.us, case when a.us >= r.until then a.id else r.holder end, case when a.us >= r.until then a.digest else r.held end, case when a.us >= r.until then a.us + {REQUEST_TTL}000000 else r.until end
+ from requests r join asked a on a.request_key = r.request_key and a.nth = r.nth + 1),
+first_asked as (select id, digest, us from passed where request_key is null union all select id, digest, us from requests where id = holder),
+brought as (select *, row_number() over (partition by digest order by us, id) as nth from first_asked),
+known as (select digest, nth, id, id as document, us + {HASH_TTL}000000 as until from brought where nth = 1
+ union all select b.digest, b.nth, b.id, case when b.us >= k.until then b.id else k.document end, case when b.us >= k.until then b.us + {HASH_TTL}000000 else k.until end from known k join brought b on b.digest = k.digest and b.nth = k.nth + 1)
+select id, case when document = id then 'created' else 'deduplicated' end as outcome, document from known
+union all select r.id, 'replayed', k.document from requests r join known k on k.id = r.holder where r.id <> r.holder"""
+
+
+@query(INGEST)
 def stream_ingest(c):
-    uploads, folder = streamed(c, c.documents.filter("sha256 is not null").select("document_id", "sha256", "created_at"), "uploads")
-    found = streams.run_to_table(streams.ingest(uploads, "36500 days"), f"{folder}/out", f"{folder}/state")
-    return found.agg(F.count("*").alias("n"))
+    """Some documents are uploaded without a request key; the others share one with those uploaded minutes before or after."""
+    restore = rocksdb(c)
+    try:
+        key = F.when(F.col("document_id") % 3 > 0, F.concat(F.lit("r"), F.floor(F.col("document_id") / 4)))
+        uploads, folder = streamed(c, c.documents.filter("sha256 is not null").select(F.col("document_id").alias("id"), key.alias("request_key"), "sha256", "created_at"), "uploads")
+        return streams.run_to_table(ingest.ingest(uploads, "1 hour", HASH_TTL, REQUEST_TTL), f"{folder}/out", f"{folder}/state").select("id", "outcome", "document")
+    finally:
+        restore()
 
 
 @query("""with windows as (select step, date_trunc('hour', created_at) as start, count(*) as n, count(*) filter (event_type = 'step_failed') as failed, round(sum(value), 4) as total from t_events group by all)

@@ -12,9 +12,7 @@ Time passes between events: a wait ends (`retry_due`), a step that has been runn
 (`stuck`: pending, or failed without attempts left), and one that neither runs nor waits is forgotten after
 a time to live. An event that meets a state which doesn't admit it changes nothing and is not reported.
 
-The stream holds events back until the watermark has passed them, so its result depends neither on the order
-in which they arrive nor on how they are cut into batches, and agrees with the batch replay; events
-later than the watermark's delay are dropped. Times are microseconds since 1970.
+The stream takes events in order too (see `ordered`), so it agrees with the batch replay. Times are microseconds since 1970.
 """
 
 from collections.abc import Iterable, Iterator
@@ -23,9 +21,10 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from quire.streaming.ordered import SECOND, InOrder, with_time
 
-SECOND = 1_000_000
 COLUMNS = ["document_id", "step", "at", "id", "cause", "status", "attempt", "due"]
 SCHEMA = "document_id long, step string, at long, id long, cause string, status string, attempt int, due long"
 
@@ -99,9 +98,8 @@ def told(key: tuple, found: Iterable[Change]) -> list[tuple]:
     return [(*key, at, event, cause, s.status, s.attempt, s.due) for at, event, cause, s in found if cause != "forgotten"]
 
 
-def timed(events: DataFrame, at: str = "created_at") -> DataFrame:
-    stamp = F.col(at).cast("timestamp")
-    return events.select("document_id", "step", "id", F.col("event_type").alias("kind"), stamp.alias("time"), F.unix_micros(stamp).alias("at"))
+def timed(events: DataFrame) -> DataFrame:
+    return with_time(events, "created_at", "document_id", "step", "id", F.col("event_type").alias("kind"))
 
 
 def replay(events: DataFrame, upto: Column, rules: Rules = Rules()) -> DataFrame:
@@ -135,71 +133,37 @@ def replay(events: DataFrame, upto: Column, rules: Rules = Rules()) -> DataFrame
     return due.repartition("document_id", "step").sortWithinPartitions("document_id", "step", "at", "id").drop("time").mapInPandas(run, SCHEMA)
 
 
-class StepMachine(StatefulProcessor):
-    """Keeps a step, the events that wait for the watermark, and one timer: the earliest time at which either needs a look."""
+class StepMachine(InOrder):
+    WAITING = "at long, id long, kind string"
+    OUT, NULLABLE = COLUMNS, {"id": "Int64", "due": "Int64"}
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
         self.step = handle.getValueState("step", "status string, attempt int, changed long, due long")
-        self.waiting = handle.getListState("waiting", "at long, id long, kind string")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def wake(self, times: list[int | None]) -> None:
-        at = min((-(-t // 1000) for t in times if t is not None), default=None)
-        before = self.timer.get()[0] if self.timer.exists() else None
-        if at == before:
-            return
-        if before is not None:
-            self.handle.deleteTimer(before)
-        if at is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+
+    def current(self) -> Step:
+        return Step(*self.step.get()) if self.step.exists() else Step()
+
+    def wakes(self) -> int | None:
+        return self.current().wakes(self.rules)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for r in initialState.itertuples():
-            step = Step(r.status, int(r.attempt), int(r.at), None if pd.isna(r.due) else int(r.due))
-            self.step.update(step)
-            self.wake([step.wakes(self.rules)])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.timer.get()[0] * 1000 if self.timer.exists() else None
-        for pdf in rows:
-            if len(pdf):
-                events = list(zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["kind"].tolist(), strict=True))
-                self.waiting.appendList(events)
-                first = min(events[0][0] if first is None else first, *(at for at, _, _ in events))
-        self.wake([first])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()  # it is over
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get()) if self.waiting.exists() else []
-        now, later = [e for e in events if e[0] <= upto], [e for e in events if e[0] > upto]
-        step = Step(*self.step.get()) if self.step.exists() else Step()
-        found = list(changes(step, now, self.rules))
+            self.step.update(Step(r.status, int(r.attempt), int(r.at), None if pd.isna(r.due) else int(r.due)))
+            self.wake(self.wakes())
+
+    def passed(self, key: tuple, rows: list[tuple], upto: int) -> list[tuple]:
+        step = self.current()
+        found = list(changes(step, rows, self.rules))
         found += pass_time(found[-1][3] if found else step, upto, self.rules)
         step = found[-1][3] if found else step
         if step.changed is None:
             self.step.clear()
         else:
             self.step.update(step)
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        self.wake([step.wakes(self.rules), later[0][0] if later else None])
-        out = told(key, found)
-        if out:
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"id": "Int64", "due": "Int64"})
-
-    def close(self) -> None:
-        pass
+        return told(key, found)
 
 
 def step_machine(events: DataFrame, delay: str = "1 hour", rules: Rules = Rules(), initial: DataFrame | None = None) -> DataFrame:

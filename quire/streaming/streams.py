@@ -1,4 +1,4 @@
-"""Streams: ingest, windowed metrics, health and fan-out. (The step machine is in steps.)
+"""Streams: windowed metrics, health and fan-out. (Ingest and the step machine are in modules of their own.)
 
 Sources are streaming DataFrames with the columns of their batch twins; sinks are the caller's.
 """
@@ -22,11 +22,6 @@ def timed(events: DataFrame, delay: str, at: str = "created_at") -> DataFrame:
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
 
-def ingest(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first upload of each digest within the watermark's delay."""
-    return timed(uploads, delay).dropDuplicatesWithinWatermark(["sha256"])
-
-
 def step_metrics(events: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Counts and duration sums per step and tumbling window."""
     return timed(events, delay).groupBy(F.window("created_at", width).alias("w"), "step").agg(
