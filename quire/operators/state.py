@@ -4,10 +4,13 @@ steps: document_id, step, status, attempt, max_attempts, started_at, finished_at
 A command whose precondition does not hold leaves its row alone, and is among the rejected ones.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.values import duration_ms
+from quire.operators.lineage import cut
 from quire.operators.relations import insert_missing, last_per_key
 from quire.sources.tables import STEP_ORDER
 
@@ -82,24 +85,84 @@ def document_status(steps: DataFrame, flags: DataFrame) -> DataFrame:
         .when(F.col("done") == n, F.when(F.col("needs_review"), "pending_review").otherwise("completed")).when(F.col("begun") == 0, "received").otherwise("processing").alias("status"))
 
 
-def claims_within_ttl(claims: DataFrame) -> DataFrame:
-    """claims: key, at (seconds), id, ttl. won: whether a claim is the first since the last won one expired.
+CLAIM = "key string, id long, won boolean, holder long, response string"
 
-    A won claim restarts the clock, so a key's claims are gone through in order of time: they stream
-    through one task, sorted, and no more than a batch of them is held.
-    """
 
-    def run(parts):
-        key = until = None
+def claims_within_ttl(claims: DataFrame, ranges: int | None = None) -> DataFrame:
+    """claims: key, at (whole number), id (unique), ttl, response. A claim is won if no earlier won claim of its key holds
+    at its time (order: at, id); a lost one gets the response of the claim that holds. Returns key, id,
+    won, holder (id of the claim that holds, its own if won) and response. A claim without key is always won.
+
+    Claims are dealt into even ranges of (key, at, id), so a key of many claims is many ranges. What a range of such a
+    key does to the time until which the key is held is a step function: for the first claim of the range that is
+    at or after that time, the last claim won in the range. It is computed for all ranges side by side; the steps
+    of a key's ranges, which are few where claims often expire, are gone through in order; and from
+    the states found at their beginnings all ranges are folded side by side. A task holds three numbers
+    a claim of its range at most. ranges: how many, if not as many as the session's shuffle settings give.
+    """
+    order = ["key", "at", "id"]
+    keyed = claims.filter("key is not null").select(*order, "ttl", "response")
+    placed = cut(keyed.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    # At most one key for each border between ranges.
+    split = placed.groupBy("key").agg(F.min("range").alias("a"), F.max("range").alias("b")).filter("a < b").select("key")
+
+    def steps_of(key: str, number: int, at: np.ndarray, ttl: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        n = len(at)
+        following = np.maximum(np.searchsorted(at, at + ttl), np.arange(1, n + 1))
+        last = np.arange(n)
+        for i in range(n - 1, -1, -1):
+            if following[i] < n:
+                last[i] = last[following[i]]
+        upto, first = np.unique(at, return_index=True)
+        met = last[first]
+        keep = np.append(met[1:] != met[:-1], True)  # neighbouring claims that lead to one claim are one step
+        return pd.DataFrame({"key": key, "range": number, "upto": upto[keep], "until": (at + ttl)[met[keep]], "holder": ids[met[keep]]})
+
+    def summaries(parts):
+        held: list[tuple[np.ndarray, ...]] = []
+        name = None
+        for pdf in parts:
+            for key, of in pdf.groupby(["key", "range"], sort=False):
+                if key != name and held:
+                    yield steps_of(*name, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                name = key
+                held.append((of["at"].to_numpy(), of["ttl"].to_numpy(), of["id"].to_numpy()))
+        if held:
+            yield steps_of(*name, *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def composed(parts):
+        key = number = until = holder = None
+        for pdf in parts:
+            found = []
+            for k, r, upto, then, by in zip(pdf.key, pdf["range"], pdf.upto, pdf.until, pdf.holder, strict=True):
+                if k != key:
+                    key, number, until, holder = k, None, None, None
+                if r != number:
+                    number, passed = r, False
+                    if holder is not None:
+                        found.append((key, r, until, holder))
+                if not passed and (until is None or upto >= until):
+                    until, holder, passed = then, by, True
+            yield pd.DataFrame(found, columns=["key", "range", "until", "holder"])
+
+    steps = placed.join(F.broadcast(split), "key", "left_semi").select("key", "range", "at", "ttl", "id").mapInPandas(summaries, "key string, range int, upto long, until long, holder long")
+    begun = steps.repartition("key").sortWithinPartitions("key", "range", "upto").mapInPandas(composed, "key string, range int, until long, holder long")
+    held = begun.join(placed.select("key", F.col("id").alias("holder"), F.col("response").alias("answer")), ["key", "holder"])
+
+    def fold(parts):
+        key = until = holder = answer = None
         for pdf in parts:
-            won = []
-            for k, at, ttl in zip(pdf.key, pdf["at"], pdf.ttl, strict=True):
-                if k != key or at >= until:
-                    key, until = k, at + ttl
-                    won.append(True)
-                else:
-                    won.append(False)
-            yield pdf[["key", "id"]].assign(won=won)
-
-    kinds = dict(claims.dtypes)
-    return claims.repartition("key").sortWithinPartitions("key", "at", "id").select("key", "at", "id", "ttl").mapInPandas(run, f"key {kinds['key']}, id {kinds['id']}, won boolean")
+            out = []
+            for k, at, i, ttl, response, u, h, a in zip(pdf.key, pdf["at"], pdf.id, pdf.ttl, pdf.response, pdf.until, pdf.holder, pdf.answer, strict=True):
+                if k != key:
+                    key, until, holder, answer = k, *((None, None, None) if pd.isna(h) else (int(u), int(h), a))
+                won = holder is None or at >= until
+                if won:
+                    until, holder, answer = at + ttl, i, response
+                out.append((k, i, won, holder, answer))
+            yield pd.DataFrame(out, columns=["key", "id", "won", "holder", "response"])
+
+    # Two rows a range at most: for the key that it begins with and for the one that it ends with.
+    found = placed.join(F.broadcast(held), ["key", "range"], "left").select(*order, "ttl", "response", "until", "holder", "answer").mapInPandas(fold, CLAIM)
+    return found.unionByName(claims.filter("key is null").select("key", "id", F.lit(True).alias("won"), F.col("id").alias("holder"), "response"))

@@ -185,14 +185,15 @@ def delivery_complete(c):
     return c.deliveries.filter(F.col("created_at") < as_of(AT)).select("id", "status", at.alias("delivered_at"))
 
 
-@query("""with recursive claims as (select id, document_id || ':' || event_type as key, floor(epoch(created_at))::bigint as made from t_events),
+@query("""with recursive claims as (select id, document_id || ':' || event_type as key, floor(epoch(created_at))::bigint as made, sha256(payload) as response from t_events),
 c as (select *, row_number() over (partition by key order by made, id) as nth from claims),
-fold as (select key, nth, id, made + 259200 as until, true as won from c where nth = 1
- union all select c.key, c.nth, c.id, case when c.made >= f.until then c.made + 259200 else f.until end, c.made >= f.until from fold f join c on c.key = f.key and c.nth = f.nth + 1)
-select key, id, won from fold""")
+fold as (select key, nth, id, made + 259200 as until, true as won, id as holder, response from c where nth = 1
+ union all select c.key, c.nth, c.id, case when c.made >= f.until then c.made + 259200 else f.until end, c.made >= f.until, case when c.made >= f.until then c.id else f.holder end, case when c.made >= f.until then c.response else f.response end
+ from fold f join c on c.key = f.key and c.nth = f.nth + 1)
+select key, id, won, holder, response from fold""")
 def idempotency_claim(c):
-    """The first request of each key wins, and again once its time is over (a fold in order of time)."""
-    claims = c.events.select(F.concat_ws(":", "document_id", "event_type").alias("key"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("at"), "id", F.lit(86400 * 3).cast("long").alias("ttl"))
+    """The first request of each key wins, and again once its time is over; the others get the response of the one that holds."""
+    claims = c.events.select(F.concat_ws(":", "document_id", "event_type").alias("key"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("at"), "id", F.lit(86400 * 3).cast("long").alias("ttl"), F.sha2("payload", 256).alias("response"))
     return state.claims_within_ttl(claims)
 
 

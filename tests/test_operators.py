@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -87,9 +88,40 @@ def test_sweep_by_attempts(spark):
     assert rows(state.sweep_stuck(s, at()), "document_id", "status") == [(1, "pending"), (2, "failed"), (3, "running")]
 
 
+CLAIM = "key string, at long, id long, ttl long, response string"
+
+
+def folded(claims):
+    """Claims in order, by hand: id -> (won, holder, response)."""
+    held, found = {}, {}
+    for key, at, i, ttl, response in sorted(claims, key=lambda c: c[1:3]):
+        won = key is None or key not in held or at >= held[key][0]
+        if won:
+            held[key] = (at + ttl, i, response)
+        found[i] = (won, *held[key][1:])
+    return found
+
+
+def answered(df):
+    return {r.id: (r.won, r.holder, r.response) for r in df.collect()}
+
+
 def test_claims_can_be_won_again_after_expiry(spark):
-    claims = spark.createDataFrame([("k", 0, 1, 10), ("k", 5, 2, 10), ("k", 10, 3, 10), ("k", 19, 4, 10), ("k", 20, 5, 10)], "key string, at long, id long, ttl long")
-    assert rows(state.claims_within_ttl(claims), "id", "won") == [(1, True), (2, False), (3, True), (4, False), (5, True)]
+    claims = [("k", 0, 1, 10, "a"), ("k", 5, 2, 10, "b"), ("k", 10, 3, 10, "c"), ("k", 19, 4, 10, None), ("k", 20, 5, 10, None), (None, 20, 6, 10, "n"), (None, 20, 7, 10, "m")]
+    got = answered(state.claims_within_ttl(spark.createDataFrame(claims, CLAIM)))
+    assert got == {1: (True, 1, "a"), 2: (False, 1, "a"), 3: (True, 3, "c"), 4: (False, 3, "c"), 5: (True, 5, None), 6: (True, 6, "n"), 7: (True, 7, "m")}
+    assert state.claims_within_ttl(spark.createDataFrame([], CLAIM)).count() == 0
+
+
+@pytest.mark.parametrize("ttl", [1, 37, 5_000, 200_000])
+def test_a_hot_key_of_claims_is_many_tasks(spark, ttl):
+    """10^5 claims of one key, beside small keys, over several ranges; times repeat, and times to live differ."""
+    draw = random.Random(ttl)
+    claims = [("hot", draw.randrange(150_000), i, draw.choice([ttl, ttl + 3]), str(i)) for i in range(100_000)]
+    claims += [(f"k{i % 500}", draw.randrange(100), 100_000 + i, draw.choice([0, 5, 30]), str(i)) for i in range(3_000)]
+    got = state.claims_within_ttl(spark.createDataFrame(claims, CLAIM), ranges=7)
+    assert got.filter("key = 'hot'").select(F.spark_partition_id()).distinct().count() >= 5
+    assert answered(got) == folded(claims)
 
 
 def test_upsert_keeps_named_columns_and_is_idempotent(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.lineage import shared_folder
-from quire.streaming import steps, streams
+from quire.streaming import ingest, steps, streams
 
 T0 = datetime.datetime(2024, 1, 1, 12, 0, 0)
 EVENT = "id long, document_id long, step string, event_type string, created_at timestamp_ntz"
@@ -108,3 +108,44 @@ def test_replay_carries_a_step_over_batches(spark):
     found = steps.replay(events, F.expr("timestamp_ntz'2024-02-01 12:00:00'"), RULES._replace(ttl_s=10**9, stuck_s=10**9))
     assert {(r.cause, r["count"]) for r in found.groupBy("cause").count().collect()} == {("uploaded", n // 3 + 1), ("step_started", n // 3), ("step_succeeded", n // 3), ("state", 1)}
     assert steps.replay(events.limit(0), F.current_timestamp(), RULES).count() == 0
+
+
+UPLOAD = "id long, request_key string, sha256 string, created_at timestamp_ntz"
+
+
+def upload(i, seconds, key, digest):
+    return (i, key, digest, T0 + datetime.timedelta(seconds=seconds))
+
+
+def answers(uploads, ttl, request_ttl):
+    """Uploads in order, by hand."""
+    holders, documents, found = {}, {}, {}
+    for i, key, digest, at in sorted(uploads, key=lambda u: (u[3], u[0])):
+        at = (at - T0).total_seconds()
+        if key in holders and at < holders[key][1]:
+            found[i] = ("replayed", found[holders[key][0]][1])
+            continue
+        if key is not None:
+            holders[key] = (i, at + request_ttl)
+        known = digest in documents and at < documents[digest][1]
+        if not known:
+            documents[digest] = (i, at + ttl)
+        found[i] = ("deduplicated" if known else "created", documents[digest][0])
+    return found
+
+
+def test_ingest_answers_each_upload(spark):
+    draw = random.Random(1)
+    uploads = [upload(1, 0, "k", "a"), upload(2, 10, None, "a"), upload(3, 20, "k", "b"), upload(4, 99, "k", "a"), upload(5, 100, "k", "b"), upload(6, 150, "m", "b"), upload(7, 199, "m", "c"), upload(8, 399, None, "a"), upload(9, 400, None, "a")]
+    want = answers(uploads, 400, 100)
+    # The third brings another text under a key that is held: it gets the first one's document.
+    assert want[3] == ("replayed", 1) and want[5] == ("created", 5) and want[7] == ("replayed", 5) and want[8] == ("deduplicated", 1) and want[9] == ("created", 9)
+    uploads += [upload(20 + i, 500 + draw.randrange(3000), draw.choice([None, "x", "y", "z"]), draw.choice("abc")) for i in range(60)]
+    want = answers(uploads, 400, 100)
+    end = upload(1000, 9000, None, "end")
+    for batches in ([[*uploads, end]], [uploads[i::4] for i in range(4)] + [[end]]):
+        delay = "60 seconds" if len(batches) == 1 else "2 hours"  # in four batches, rows of all times are mixed
+        got = ran(spark, batches, lambda s: ingest.ingest(s, delay, 400, 100), UPLOAD).filter("id < 1000").collect()
+        upto = 9000 - (60 if len(batches) == 1 else 7200)
+        assert {r.id: (r.outcome, r.document) for r in got} == {i: a for i, a in want.items() if next(u[3] for u in uploads if u[0] == i) <= T0 + datetime.timedelta(seconds=upto)}
+    assert len(got) > 20
