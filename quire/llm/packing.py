@@ -12,9 +12,8 @@ each power of two in that number, as such lengths need no padding. A document th
 is cut: parts of it go to the sequences of lowest cost with any room. So nothing is padded, at the
 price of at most one cut for each sequence that the bin closes.
 
-Text is encoded by the tokenizers library, distinct words of a batch once: the model's normaliser and
-pre-tokenizer treat what white space separates independently, and words that are already encoded are kept up to a
-bound. (A test compares this with whole texts.)
+Text is encoded by the tokenizers library. Where the model's normaliser and pre-tokenizer treat what white space
+separates independently, distinct words are encoded once and kept, up to a bound. (A test compares this with whole texts.)
 
 Edge cases: a null text is empty, and an empty text is its closing id alone. Texts of any length count
 whole. Rows are packed each on its own, so null or repeated doc_ids and repeated rows give as many documents.
@@ -25,7 +24,10 @@ another. Other columns are passed on if asked for, whatever their names. An empt
 
 import functools
 import heapq
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,17 @@ def default_model() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How a model that drops white space and ends words with a suffix splits a text into pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters, numbers and white space among the first 256 characters, as class bodies.
+LETTERS, NUMBERS, SPACES = "A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF", "0-9\xB2\xB3\xB9\xBC-\xBE", "\t-\r \x85\xA0"
+PIECE = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+
 class Encoder:
-    """Encodes texts word by word, and keeps the words that it has met."""
+    """Encodes texts. Where the model treats what white space separates independently, it does so word by word,
+    and keeps the words that it has met; other models get whole texts."""
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,26 +72,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.ids, self.chars = {"": b""}, 0
+        spec = json.loads(model)
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = ((spec["normalizer"] or {}).get("normalizers") == NORMALIZERS and splits[0].get("pattern") == {"Regex": PIECES} and splits[0].get("behavior") == "Removed"
+                        and bool(spec["model"].get("end_of_word_suffix")))
+        if self.by_word:
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+            # For pieces that are split and in lower case already.
+            self.by_piece = Tokenizer(self.tokenizer.model)
+            self.by_piece.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.pieces, self.chars = {"": b""}, {}, 0
 
     def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
-        ends = np.searchsorted(of, np.arange(len(words) + 1)) * self.kind.itemsize
-        packed = ids.tobytes()
-        self.ids.update((w, packed[a:b]) for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        """New words: plain ones are made of pieces, of which new ones are encoded as one text. A piece ends with an id that
+        bears the suffix, which tells where the next begins. Other words are marked off by the library."""
+        plain = {w: PIECE.findall(w.lower()) for w in words if (w.isascii() or max(w) < "\u0100") and "'" not in w and "<|" not in w}
+        new = list(set(chain.from_iterable(plain.values())).difference(self.pieces))
+        if new:
+            ids = np.array(self.by_piece.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(new) or ends[-1] != len(ids):
+                raise ValueError("the model splits words otherwise than expected")
+            self.keep(self.pieces, new, ids, ends)
+        self.ids.update((w, b"".join(map(self.pieces.__getitem__, of))) for w, of in plain.items())
+        others = [w for w in words if w not in plain]
+        if others:
+            found = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+            self.keep(self.ids, others, np.array(found.ids, self.kind), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(others) + 1)))
         self.chars += sum(map(len, words))
 
+    def keep(self, known: dict[str, bytes], words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        packed, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        known.update((w, packed[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed as integers of self.kind."""
+        if not self.by_word:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.chars > KEPT_CHARS:
-            self.ids, self.chars = {"": b""}, 0
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+            self.forget()
+        split = [self.lowered(t).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.ids)
         if new:
             self.learn(list(new))
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
+    @staticmethod
+    def lowered(text: str) -> str:
+        """The text in lower case where that is the model's own and no mark of the model (which has case) is in it."""
+        return text.lower() if (text.isascii() or max(text) < "\u0100") and "<|" not in text else text
+
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(model: bytes) -> Encoder:

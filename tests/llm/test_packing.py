@@ -103,9 +103,18 @@ def test_query_on_all_documents(spark, sf_dir, tokenizer):
         assert r.ids_crc32 == zlib.crc32(np.array(docs[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
 
+def test_models_that_keep_white_space_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = packing.Encoder(open(path, "rb").read()), Tokenizer.from_file(path)
+    texts = ["Two  words\n and more", "", "x"]
+    assert not encoder.by_word and [np.frombuffer(i, encoder.kind).tolist() for i in encoder.encode(texts)] == [tokenizer.encode(t).ids for t in texts]
+
+
 def test_odd_rows_several_bins_and_columns(spark, odd_docs, no_docs, tokenizer):
     """Nulls, repeated rows and ids, a very long text, strange white space, marks of the model itself, clashing names."""
-    strange = ["<|endoftext|>a<|startoftext|> b", "it's  WE'LL \t\n x\x0b\x0cy", "\x1c a\x1cb", "a b c　d", "é ́x ΑΣ İ", "日本語 テキスト", "퟿\U0001f600 #!?"]
+    strange = ["<|endoftext|>a<|startoftext|> b", "it's  WE'LL \t\n x\x0b\x0cy", "\x1c a\x1cb", "a b c　d", "é ́x ΑΣ İ", "日本語 テキスト", "naïve ÀÉ½x²,y_z.. a\x85b\xa0c µª <|ENDOFTEXT|> İI’s DON'T", "".join(map(chr, range(1, 256))), " ".join(map(chr, range(1, 0x250))), "퟿\U0001f600 #!?"]
     more = spark.createDataFrame([(2**60 + i, t, "en", "a", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = odd_docs.unionByName(more, allowMissingColumns=True).withColumns({c: F.lit("x") for c in ("start", "ids", "offset", "sequence_id", "_ids", "_bin", "_text", "_passed_0")})
     columns = ["doc_id", "words", "_row", "_bin", "_passed_0", "ids"]
