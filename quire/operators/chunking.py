@@ -1,9 +1,19 @@
-"""Packing pages into chunks: greedily with overlap, and by cumulative windows in SQL terms."""
+"""Packing pages into chunks: greedily with overlap, and by cumulative windows in SQL terms.
 
-import re
+Pages are cut into paragraphs (at blank lines; the lines of a table are one of their own), these into sentences,
+and sentences longer than a chunk between words; a word of more than LONGEST_WORD characters is cut. A table is kept
+whole up to twice a chunk's size, beyond that it is cut into its lines. Pieces are packed in order: a chunk
+takes a paragraph that fits a chunk as a whole or ends before it, and begins with the last pieces of
+the one before, up to the overlap and as far as there is room. Short pages run on into the next.
 
-import pandas as pd
-from pyspark.sql import DataFrame
+Pieces are made by built-in expressions. Packing goes through a document's pieces in order, in a task that has
+them sorted and holds one chunk; documents are spread over tasks by their id.
+"""
+
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
@@ -11,65 +21,103 @@ from pyspark.sql.functions import udtf
 from quire.functions.text import estimate_tokens, sentences
 
 TARGET, OVERLAP = 512, 64
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
-
-
-def n_tokens(text: str) -> int:
-    return -(-len(text) // 4)
-
-
-def pieces(text: str, target: int):
-    """Sentences of a page; one longer than the target is wrapped between words."""
-    for sentence in filter(None, (s.strip() for s in _SENTENCE.split(text))):
-        if n_tokens(sentence) <= target:
-            yield sentence
-            continue
-        line = ""
-        for word in sentence.split(" "):
-            if line and n_tokens(f"{line} {word}") > target:
-                yield line
-                line = word
-            else:
-                line = f"{line} {word}" if line else word
-        if line:
-            yield line
-
-
-def pack(pages, target: int = TARGET, overlap: int = OVERLAP):
-    """pages: (page, text) in order. Chunks as (page_from, page_to, text): whole sentences up to the
-    target, each chunk beginning with the last sentences of the one before, up to the overlap."""
-    current: list[tuple[int, str]] = []
-    size = fresh = 0
-    for page, text in pages:
-        for piece in pieces(text or "", target):
-            n = n_tokens(piece)
-            if fresh and size + n > target:
-                yield current[0][0], current[-1][0], " ".join(p for _, p in current)
-                tail, kept = [], 0
-                for item in reversed(current):
-                    if kept + n_tokens(item[1]) > overlap or kept + n_tokens(item[1]) + n > target:
-                        break
-                    tail.insert(0, item)
-                    kept += n_tokens(item[1])
-                current, size, fresh = tail, kept, 0
-            current.append((page, piece))
-            size, fresh = size + n, fresh + 1
-    if fresh:
-        yield current[0][0], current[-1][0], " ".join(p for _, p in current)
-
-
+LONGEST_WORD = 1000
+TABLE = r"(?m)((?:^\|[^\n]*(?:\n|\z))+)"
+PIECE = "document_id long, page int, paragraph int, place int, line int, text string, tokens long, whole long"
 CHUNK = "document_id long, chunk_index int, page_from int, page_to int, text string, token_count int"
 
 
-def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """Greedy packing, sequential within a document (a document must fit a task)."""
+def paragraphs(text: Column) -> Column:
+    """Paragraphs and tables of a page, in order."""
+    apart = F.regexp_replace(text, TABLE, "\n\n$1\n\n")
+    return F.filter(F.transform(F.split(apart, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\n+|\n+$", ""))), lambda p: p != "")
+
+
+def pieces(pages: DataFrame, target: int = TARGET) -> DataFrame:
+    """pages: document_id, page, text. Pieces with their place, tokens, and the tokens of their whole paragraph."""
+    each = pages.select("document_id", "page", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "_p"))
+    table, small = F.col("_p").startswith("|"), estimate_tokens(F.col("_p")) <= 2 * target
+    cut = F.when(table & small, F.array("_p")).when(table, F.split("_p", "\n")).otherwise(sentences(F.col("_p")))
+    counted = F.transform(cut, lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("tokens")))
+    whole = F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + s["tokens"])
+    rows = each.withColumn("_s", counted).withColumn("whole", whole).withColumn("_table", table & small)
+    rows = rows.select("document_id", "page", "paragraph", "whole", "_table", F.posexplode("_s").alias("place", "_s")).select("*", "_s.text", "_s.tokens")
+    fits = F.col("_table") | (F.col("tokens") <= target)
+    short = rows.filter(fits).withColumn("line", F.lit(0))
+    # Words of long sentences go to lines by where they end, in steps of the characters that make up a chunk.
+    long = rows.filter(~fits).withColumn("_width", F.floor(F.length("text") * target / F.col("tokens")))
+    words = long.select("document_id", "page", "paragraph", "place", "whole", "_width", F.posexplode(F.split(F.regexp_replace("text", rf"([^ ]{{{LONGEST_WORD}}})", "$1 "), " ")).alias("_i", "_w"))
+    ends = F.sum(F.length("_w") + 1).over(W.partitionBy("document_id", "page", "paragraph", "place").orderBy("_i")) - 1
+    lined = words.withColumn("line", F.floor((ends - 1) / F.col("_width")).cast("int")).groupBy("document_id", "page", "paragraph", "place", "line", "whole").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda w: w["_w"]), " ").alias("text"))
+    lined = lined.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("tokens", estimate_tokens(F.col("text")))
+    columns = [c.split()[0] for c in PIECE.split(", ")]
+    return short.select(*columns).unionByName(lined.select(*columns))
+
+
+class Packer:
+    """The chunk at hand of one document: pieces as (page, text, tokens), of which the first `kept` are the overlap."""
+
+    def __init__(self, target: int, overlap: int):
+        self.target, self.overlap = target, overlap
+        self.current: list[tuple[int, str, int]] = []
+        self.size = self.kept = 0
+
+    def close(self) -> tuple[int, int, str, int]:
+        return self.current[0][0], self.current[-1][0], " ".join(text for _, text, _ in self.current), self.size
+
+    def add(self, page: int, text: str, tokens: int, need: int) -> tuple[int, int, str, int] | None:
+        """Take a piece; the chunk that ends before it, if one does. need: the tokens that should go together from here on."""
+        done = None
+        if len(self.current) > self.kept and self.size + need > self.target:
+            done = self.close()
+            room, start = min(self.overlap, self.target - need), len(self.current)
+            while start and (n := self.current[start - 1][2]) <= room:
+                room, start = room - n, start - 1
+            self.current = self.current[start:]
+            self.size, self.kept = sum(n for _, _, n in self.current), len(self.current)
+        self.current.append((page, text, tokens))
+        self.size += tokens
+        return done
+
+
+def pack(rows: Iterable[tuple[int, int, str, int, int]], target: int = TARGET, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str, int]]:
+    """Rows (page, paragraph, text, tokens, whole) of a document in order. Chunks as (page_from, page_to, text, tokens)."""
+    packer, before = Packer(target, overlap), None
+    for page, paragraph, text, tokens, whole in rows:
+        need = whole if (page, paragraph) != before and whole <= target else tokens
+        before = page, paragraph
+        if done := packer.add(page, text, tokens, need):
+            yield done
+    if len(packer.current) > packer.kept:
+        yield packer.close()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page")
-        rows = [(pdf.document_id.iloc[0], i, a, b, t, n_tokens(t)) for i, (a, b, t) in enumerate(pack(zip(pdf.page.tolist(), pdf.text.tolist(), strict=True), target, overlap))]
-        return pd.DataFrame(rows, columns=["document_id", "chunk_index", "page_from", "page_to", "text", "token_count"])
 
-    return pages.select("document_id", "page", "text").groupBy("document_id").applyInPandas(run, CHUNK)
+def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """pages: document_id, page, text. Chunks of each document, from chunk_index 0."""
+    order = ["document_id", "page", "paragraph", "place", "line"]
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, document, index, before = Packer(target, overlap), None, 0, None
+        for batch in batches:
+            out = []
+            for d, page, paragraph, text, tokens, whole in zip(*(batch.column(c).to_pylist() for c in ("document_id", "page", "paragraph", "text", "tokens", "whole")), strict=True):
+                if d != document:
+                    if len(packer.current) > packer.kept:
+                        out.append((document, index, *packer.close()))
+                    packer, document, index, before = Packer(target, overlap), d, 0, None
+                need = whole if (page, paragraph) != before and whole <= target else tokens
+                before = page, paragraph
+                if done := packer.add(page, text, tokens, need):
+                    out.append((d, index, *done))
+                    index += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
+        if len(packer.current) > packer.kept:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((document, index, *packer.close()), kinds, strict=True)], names=names)
+
+    return pieces(pages, target).repartition("document_id").sortWithinPartitions(*order).mapInArrow(run, CHUNK)
 
 
 def sentence_rows(pages: DataFrame) -> DataFrame:
@@ -86,14 +134,26 @@ def chunk_windows(pages: DataFrame, target: int = TARGET) -> DataFrame:
     return placed.groupBy("document_id", "chunk_index").agg(F.min("page").alias("page_from"), F.max("page").alias("page_to"), text.alias("text"), F.sum("tokens").alias("token_count"))
 
 
-@udtf(returnType="chunk_index int, text string")
-class ChunkText:
-    """chunk_text(text, target, overlap), for use in SQL."""
+@udtf(returnType=CHUNK)
+class ChunkPieces:
+    """chunk_pieces(piece => table(...) partition by document_id order by (page, paragraph, place, line), target => ..., overlap => ...), for use in SQL."""
+
+    def __init__(self):
+        self.packer, self.document, self.before, self.index = None, None, None, 0
+
+    def eval(self, piece, target: int, overlap: int):
+        self.packer, self.document = self.packer or Packer(target, overlap), piece["document_id"]
+        place = piece["page"], piece["paragraph"]
+        need = piece["whole"] if place != self.before and piece["whole"] <= target else piece["tokens"]
+        self.before = place
+        if done := self.packer.add(piece["page"], piece["text"], piece["tokens"], need):
+            yield self.document, self.index, *done
+            self.index += 1
 
-    def eval(self, text: str, target: int, overlap: int):
-        for i, (_, _, chunk) in enumerate(pack([(1, text)], target, overlap)):
-            yield i, chunk
+    def terminate(self):
+        if self.packer and len(self.packer.current) > self.packer.kept:
+            yield self.document, self.index, *self.packer.close()
 
 
 def register(spark) -> None:
-    spark.udtf.register("chunk_text", ChunkText)
+    spark.udtf.register("chunk_pieces", ChunkPieces)

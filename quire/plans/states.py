@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.vectors import cosine, nearest
 from quire.operators import relations as R
-from quire.operators import search, state
+from quire.operators import rules, search, state
 from quire.operators import versions as VS
 from quire.operators.lineage import cut
 from quire.plans.joins import KNN, query_vectors, review_rows, step_rows
 from quire.plans.metrics import CHECKED, checked
 from quire.plans.registry import query
 from quire.plans.tables import as_of, scratch
-from quire.sources.tables import DOCUMENT_STATUS, STEP_ORDER, STEP_STATUS, append, conform, read
+from quire.sources import model
+from quire.sources.tables import STEP_ORDER, append, conform, read
 
 AT = "2024-02-01 00:00:00"
 STEPS = ", ".join(f"'{s}'" for s in STEP_ORDER)
@@ -213,9 +214,18 @@ def tag_assignment(c):
     return c.documents.select("document_id", tag.alias("tag_id")).withColumn("needs_tag", F.col("tag_id").isNull())
 
 
-@query("select document_id, tag_version, count(*) as n from t_versions group by all having count(*) > 1")
+def of_model(c):
+    return lambda name: model.table(c, name)
+
+
+def rule_sql(parts) -> str:
+    return " union all ".join(f"select '{rules.name(r)}' as rule, {told} " for r, told in parts)
+
+
+@query(rule_sql((r, f"concat_ws(', ', {', '.join(f'{k}::varchar' for k in r.keys)}) as value, count(*) as n from ({model.sql(r.table)}) where {r.where} and {' and '.join(f'{k} is not null' for k in r.keys)} group by {', '.join(r.keys)} having count(*) > 1") for r in rules.UNIQUE))
 def dup_key(c):
-    return R.duplicate_keys(c.versions, ["document_id", "tag_version"])
+    """All uniqueness rules of the data model."""
+    return rules.duplicates(of_model(c))
 
 
 @query("select document_id, count(*) as n from t_versions where version % 3 = 1 group by document_id having count(*) > 1")
@@ -223,27 +233,33 @@ def one_current(c):
     return c.versions.groupBy("document_id").agg(F.count_if(F.col("version") % 3 == 1).alias("n")).filter("n > 1")
 
 
-@query("select document_id, count(*) as n from t_versions where document_id not in (select o_orderkey from orders where o_orderstatus <> 'P') group by document_id")
+@query(rule_sql((r, f"{r.column}::varchar as value, count(*) as n from ({model.sql(r.table)}) where {r.column} is not null and {r.column} not in (select {r.parent_column} from ({model.sql(r.parent)}) where {r.parent_column} is not null) group by {r.column}") for r in rules.REFERS))
 def fk(c):
-    parents = c.table("orders").filter("o_orderstatus <> 'P'")
-    return R.orphans(c.versions, "document_id", parents, "o_orderkey").groupBy("document_id").agg(F.count("*").alias("n"))
+    """All foreign keys of the data model."""
+    return rules.dangling(of_model(c))
+
+
+def bounds(r):
+    return " or ".join([f"{r.column} < {r.low}"] * (r.low is not None) + [f"{r.column} > {r.high}"] * (r.high is not None))
 
 
-@query("select document_id, version, document_confidence from t_versions where document_confidence < 0.6 or document_confidence > 0.9")
+@query("select rule, round(value, 6) as value, n from (" + rule_sql((r, f"{r.column}::double as value, count(*) as n from ({model.sql(r.table)}) where {bounds(r)} group by {r.column}") for r in rules.WITHIN) + ")")
 def range_(c):
-    return R.outside(c.versions, "document_confidence", 0.6, 0.9).select("document_id", "version", "document_confidence")
+    """All bounds of the data model."""
+    return rules.outside(of_model(c)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query("select document_id, step, status from t_steps where status not in ('pending', 'running', 'succeeded') union all select document_id, 'document', status from t_documents where status not in ('received', 'processing', 'pending_review', 'validated', 'completed', 'failed')")
+@query(rule_sql((r, f"{r.column} as value, count(*) as n from ({model.sql(r.table)}) where {r.column} not in ({', '.join(repr(v) for v in r.values)}) group by {r.column}") for r in rules.ONE_OF))
 def enum_member(c):
-    steps = R.not_member(c.steps, "status", STEP_STATUS[:3]).select("document_id", "step", "status")
-    return steps.unionByName(R.not_member(c.documents, "status", DOCUMENT_STATUS[:6]).select("document_id", F.lit("document").alias("step"), "status"))
+    """All enumerations of the data model."""
+    return rules.strangers(of_model(c))
 
 
-@query("select document_id, embed_dim from t_chunks where embed_dim <> (case when document_id % 10 = 0 then 32 else 64 end)")
+@query("select document_id, chunk_index, embed_dim, 'chunk' as problem from (select document_id, chunk_index, case when document_id % 10 = 0 then 32 else embed_dim end::int as embed_dim from t_chunks) where embed_dim <> 64")
 def embed_dim(c):
-    wanted = F.when(F.col("document_id") % 10 == 0, 32).otherwise(64)
-    return c.chunks.filter((F.size("embedding") != wanted) | (F.col("embed_dim") != wanted)).select("document_id", "embed_dim")
+    """Chunks against the dimension that the configuration table records; some say another one."""
+    chunks = c.chunks.withColumn("embed_dim", F.when(F.col("document_id") % 10 == 0, 32).otherwise(F.col("embed_dim")).cast("int"))
+    return rules.wrong_dimensions(chunks, model.table(c, "schema_config"), 64)
 
 
 @query("select document_id, count(*) as pages, 'too_many_pages' as reason from t_pages group by document_id having count(*) > 5")

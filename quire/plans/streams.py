@@ -1,5 +1,7 @@
 """Chunking, hooks and streams over the corpus; a stream's SQL is that of its batch twin."""
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,17 +26,47 @@ def chunk_windows(c):
     return chunking.chunk_windows(c.pages)
 
 
-@query()
+TOKENS = r"(ceil((length({0}) - length(regexp_replace({0}, '[^\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]', '', 'g'))) / 4.0) + length(regexp_replace({0}, '[^\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]', '', 'g')))::bigint"
+PACKED = rf"""with recursive split as (select document_id, page, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '(?m)((?:^\|[^\n]*(?:\n|\z))+)', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g'), '\n[ \t]*\n'),
+  lambda p: trim(regexp_replace(p, '^\n+|\n+$', '', 'g'))), lambda p: p <> '') as ps from t_pages where text is not null),
+paras as (select document_id, page, i as paragraph, ps[i] as p, {TOKENS.format("ps[i]")} as size from (select *, unnest(range(1, len(ps) + 1)) as i from split)),
+cut as (select document_id, page, paragraph, starts_with(p, '|') and size <= 1024 as tabular, case when starts_with(p, '|') and size <= 1024 then [p] when starts_with(p, '|') then string_split(p, chr(10))
+  else list_filter(list_transform(string_split(regexp_replace(p, '([.!?])[ \t\n\f\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') end as ss from paras),
+sents as (select document_id, page, paragraph, tabular, i as place, ss[i] as text, {TOKENS.format("ss[i]")} as tokens from (select *, unnest(range(1, len(ss) + 1)) as i from cut)),
+sized as (select *, sum(tokens) over (partition by document_id, page, paragraph)::bigint as whole from sents),
+words as (select document_id, page, paragraph, place, whole, floor(length(text) * 512 / tokens)::bigint as width, i, ws[i] as w
+  from (select *, unnest(range(1, len(ws) + 1)) as i from (select *, string_split(regexp_replace(text, '([^ ]{{1000}})', '\1 ', 'g'), ' ') as ws from sized where tokens > 512 and not tabular))),
+lined as (select *, (sum(length(w) + 1) over (partition by document_id, page, paragraph, place order by i rows unbounded preceding) - 2) // width as line from words),
+lines as (select document_id, page, paragraph, place, line, whole, trim(string_agg(w, ' ' order by i)) as text from lined group by document_id, page, paragraph, place, line, whole),
+pieces as (select document_id, page, paragraph, place, 0 as line, text, tokens, whole from sized where tokens <= 512 or tabular
+  union all select document_id, page, paragraph, place, line, text, {TOKENS.format("text")}, whole from lines where text <> ''),
+numbered as (select *, row_number() over w as nth, sum(tokens) over w as total, case when row_number() over (partition by document_id, page, paragraph order by place, line) = 1 and whole <= 512 then whole else tokens end as need
+  from pieces window w as (partition by document_id order by page, paragraph, place, line rows unbounded preceding)),
+backs as (select a.document_id, a.nth, min(b.nth) as back from numbered a join numbered b on a.document_id = b.document_id and b.nth between a.nth - 64 and a.nth - 1
+  and a.total - a.tokens - b.total + b.tokens <= least(64, 512 - a.need) group by a.document_id, a.nth),
+steps as (select n.document_id, n.nth, n.need, n.total, coalesce(back, n.nth) as back, coalesce(p.total, 0) - coalesce(q.total, 0) as before from numbered n left join backs on n.document_id = backs.document_id and n.nth = backs.nth
+  left join numbered p on p.document_id = n.document_id and p.nth = n.nth - 1 left join numbered q on q.document_id = n.document_id and q.nth = coalesce(back, n.nth) - 1),
+fold as (select document_id, nth, 0 as chunk_index, 1::bigint as start, 1::bigint as fresh, total, total as size from steps where nth = 1
+ union all select s.document_id, s.nth, case when f.size + s.need > 512 then f.chunk_index + 1 else f.chunk_index end, case when f.size + s.need > 512 then s.back else f.start end,
+  case when f.size + s.need > 512 then s.nth else f.fresh end, s.total, case when f.size + s.need > 512 then s.before + s.total - f.total else f.size + s.total - f.total end
+ from fold f join steps s on s.document_id = f.document_id and s.nth = f.nth + 1),
+chunks as (select document_id, chunk_index, any_value(start) as start, max(nth) as last from fold group by document_id, chunk_index)
+select c.document_id, chunk_index, min(page)::int as page_from, max(page)::int as page_to, string_agg(text, ' ' order by nth) as text, sum(tokens)::int as token_count
+from chunks c join numbered n on n.document_id = c.document_id and n.nth between c.start and c.last group by c.document_id, chunk_index"""
+
+
+@query(PACKED)
 def chunk_pages(c):
     return chunking.chunk_pages(c.pages)
 
 
-@query()
+@query(PACKED)
 def chunker(c):
-    """The same as a table function, for use in SQL, over whole documents."""
+    """The same as a table function, for use in SQL."""
     chunking.register(c.spark)
-    c.documents.select("document_id", "text").filter("text is not null").createOrReplaceTempView("quire_chunker_input")
-    return c.spark.sql("select d.document_id, k.chunk_index, k.text from quire_chunker_input d, lateral chunk_text(d.text, 512, 64) k")
+    view = f"pieces_{uuid.uuid4().hex}"
+    chunking.pieces(c.pages).createOrReplaceTempView(view)
+    return c.spark.sql(f"select * from chunk_pieces(piece => table({view}) partition by document_id order by (page, paragraph, place, line), target => 512, overlap => 64)")
 
 
 @query("select document_id, page, sha256(text) as digest, length(trim(text)) = 0 as is_blank, page = max(page) over (partition by document_id) as is_last from t_pages")

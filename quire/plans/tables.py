@@ -9,7 +9,7 @@ from quire.operators import relations as R
 from quire.operators import search
 from quire.operators.lineage import cut, shared_folder
 from quire.plans.registry import query
-from quire.sources import blobs
+from quire.sources import blobs, model
 from quire.sources.corpus import Corpus
 from quire.sources.tables import TERMINAL, append, conform, explode_fields, read, retain
 
@@ -41,24 +41,14 @@ def scan_tables(c):
     return read(c.spark, folder, "documents").select("document_id", "sha256", "original_filename", "size_bytes", "tag_id", "status", "needs_review", "document_confidence")
 
 
-KEPT_TABLES = {
-    "users": "customer", "tags": "t_tags", "tag_fields": "t_tag_fields", "documents": "t_documents", "document_steps": "t_steps", "document_events": "t_events", "document_pages": "t_pages", "pages": "t_pages",
-    "extraction_versions": "t_versions", "validations": "labels", "chunks": "t_chunks", "webhooks": "t_webhooks", "webhook_deliveries": "t_deliveries", "raw_responses": "t_events", "idempotency_keys": "conversations"}
-
-
-@query(" union all ".join(f"select '{name}' as name, count(*) as n from {source}" for name, source in KEPT_TABLES.items()))
+@query(" union all ".join(f"select '{name}' as name, md5({model.row_text(name, spark=False)}) as digest from ({model.sql(name)})" for name in model.MODEL))
 def scan_every_table(c):
-    """Each table of the model written, and read back by its declared schema."""
-    rows = {
-        "users": c.table("customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("email"), F.lit(True).alias("is_active")), "tags": c.tags, "tag_fields": c.tag_fields, "documents": c.documents,
-        "document_steps": c.steps.withColumnRenamed("updated_at", "finished_at"), "document_events": c.events, "document_pages": c.pages.withColumn("char_count", F.length("text")), "pages": c.pages, "extraction_versions": c.versions,
-        "validations": c.table("labels").withColumnRenamed("doc_id", "document_id"), "chunks": c.chunks, "webhooks": c.webhooks, "webhook_deliveries": c.deliveries, "raw_responses": c.events.withColumnRenamed("payload", "response_text"),
-        "idempotency_keys": c.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.sha2("text", 256).alias("request_hash"))}
+    """Each table of the model written, read back by its declared schema, and its values told by a digest of each row."""
     folder, found = scratch(c), None
-    for name in KEPT_TABLES:
-        append(conform(rows[name], name), folder, name)
-        counted = read(c.spark, folder, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        found = counted if found is None else found.unionByName(counted)
+    for name in model.MODEL:
+        append(model.table(c, name), folder, name)
+        rows = read(c.spark, folder, name).select(F.lit(name).alias("name"), F.md5(model.row_text(name, spark=True).cast("binary")).alias("digest"))
+        found = rows if found is None else found.unionByName(rows)
     return found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.functions.vectors import nearest
-from quire.operators import chunking, relations, search, state, versions
+from quire.operators import chunking, relations, rules, search, state, versions
 from quire.sources import blobs
 from quire.sources.tables import STEP_ORDER
 
@@ -229,24 +229,54 @@ def test_archives(spark):
     assert got == {("ok", "a.txt", None), ("ok", "b.txt", None), ("bad", None, "unreadable"), ("path", "../x", "path"), ("path", "in.zip", "nested"), ("bomb", None, "ratio"), ("many", None, "too_many_entries")}
 
 
-def test_chunks_overlap_by_sentences():
-    pages = [(1, "One two three. Four five six. Seven eight nine."), (2, "Ten eleven twelve.")]
-    chunks = list(chunking.pack(pages, target=10, overlap=5))
-    assert [(a, b) for a, b, _ in chunks] == [(1, 1), (1, 1), (1, 2)]
+def chunks_of(spark, pages, target, overlap):
+    df = chunking.chunk_pages(spark.createDataFrame([(1, i, t) for i, t in pages], "document_id long, page int, text string"), target, overlap)
+    return [(r.page_from, r.page_to, r.text, r.token_count) for r in sorted(df.collect(), key=lambda r: r.chunk_index)]
+
+
+def test_chunks_overlap_by_sentences(spark):
+    chunks = chunks_of(spark, [(1, "One two three. Four five six. Seven eight nine."), (2, "Ten eleven twelve.")], 10, 5)
+    assert [(a, b) for a, b, _, _ in chunks] == [(1, 1), (1, 1), (1, 2)]
     assert chunks[0][2].endswith("Four five six.") and chunks[1][2].startswith("Four five six.")
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab .!\n", max_size=120), max_size=6), st.integers(4, 40), st.integers(0, 20))
-def test_chunks_cover_all_words_in_bounds(texts, target, overlap):
-    pages = list(enumerate(texts, 1))
-    chunks = list(chunking.pack(pages, target, overlap))
-    words = [w for _, t in pages for p in chunking.pieces(t, target) for w in p.split(" ")]
-    assert {w for _, _, c in chunks for w in c.split(" ")} == set(words)
-    assert all(a <= b for a, b, _ in chunks)
-    assert [a for a, _, _ in chunks] == sorted(a for a, _, _ in chunks)
-    longest = max((chunking.n_tokens(w) for w in words), default=0)
-    assert all(chunking.n_tokens(c) <= max(target, longest) * 2 + 2 for _, _, c in chunks)
+def test_chunks_keep_paragraphs_and_tables_and_cut_the_rest(spark):
+    # The second paragraph fits a chunk, so it does not begin in the first one.
+    chunks = chunks_of(spark, [(1, "One two three four. Five six.\n\nSeven eight nine. Ten eleven twelve."), (2, None), (3, "")], 10, 0)
+    assert [t for _, _, t, _ in chunks] == ["One two three four. Five six.", "Seven eight nine. Ten eleven twelve."]
+    table = "| a | b |\n|---|---|\n| 1. x | 2 |\n| 3 | 4 |"
+    chunks = chunks_of(spark, [(1, f"Before it.\n{table}\nAfter it.")], 6, 0)
+    assert [t for _, _, t, _ in chunks] == ["Before it.", table, "After it."] and chunks[1][3] <= 12
+    lines = [f"| row {i} | value |" for i in range(8)]
+    assert [t for _, _, t, _ in chunks_of(spark, [(1, "\n".join(lines))], 6, 0)] == lines  # too large a table goes by lines
+    long = " ".join(f"w{i:02d}" for i in range(30))
+    chunks = chunks_of(spark, [(1, long + "."), (2, "x" * 2500)], 10, 0)
+    assert " ".join(t for _, _, t, _ in chunks).replace(" ", "") == (long + "." + "x" * 2500).replace(" ", "")
+    assert all(n <= 20 for _, _, t, n in chunks if "x" not in t) and max(n for _, _, _, n in chunks) <= 250  # words of 1000 characters at most
+    assert [n for _, _, _, n in chunks_of(spark, [(1, "文" * 12 + " abcd")], 20, 0)] == [14]  # a token a character, and one for four others
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 2), st.integers(1, 30)), max_size=40), st.integers(4, 40), st.integers(0, 20))
+def test_packing_covers_all_pieces_in_bounds(given, target, overlap):
+    given = sorted(given, key=lambda g: g[:2])
+    whole = {}
+    for page, paragraph, n in given:
+        whole[page, paragraph] = whole.get((page, paragraph), 0) + n
+    rows = [(page, paragraph, f"p{i}", n, whole[page, paragraph]) for i, (page, paragraph, n) in enumerate(given)]
+    chunks, tokens = list(chunking.pack(rows, target, overlap)), {r[2]: r[3] for r in rows}
+    last = -1
+    for a, b, text, size in chunks:
+        names = [int(p[1:]) for p in text.split(" ")]
+        assert names == list(range(names[0], names[-1] + 1)) and names[0] <= last + 1 and names[-1] > last  # in order, each with something new
+        assert size == sum(tokens[f"p{i}"] for i in names) and (size <= target or len(names) == 1)
+        assert sum(tokens[f"p{i}"] for i in names if i <= last) <= overlap
+        assert (a, b) == (rows[names[0]][0], rows[names[-1]][0])
+        last = names[-1]
+    assert last == len(rows) - 1
+    for (page, paragraph), size in whole.items():
+        names = {r[2] for r in rows if r[:2] == (page, paragraph)}
+        assert size > target or any(names <= set(t.split(" ")) for _, _, t, _ in chunks)  # what fits a chunk is in one as a whole
 
 
 def test_integrity(spark):
@@ -255,3 +285,26 @@ def test_integrity(spark):
     assert rows(relations.outside(df, "v", 0, 1), "k") == [(1,)]
     assert rows(relations.not_member(df, "s", ["a"]), "s") == [("b",)]
     assert rows(relations.orphans(df, "k", spark.createDataFrame([(1,)], "id long"), "id"), "k") == [(3,)]
+
+
+def test_rules_name_each_violation(spark):
+    """Nulls never break uniqueness or references; a partial rule looks at its rows only; all tables in one result."""
+    tables = {
+        "a": spark.createDataFrame([(1, "x", True), (1, "y", True), (2, None, False), (2, None, False), (3, "x", None)], "id int, name string, current boolean"),
+        "b": spark.createDataFrame([(1, "p"), (9, "q"), (9, None), (None, "p")], "a_id int, kind string")}.__getitem__
+    unique = (rules.Unique("a", ("id",), "current"), rules.Unique("a", ("id", "name")), rules.Unique("b", ("kind",)))
+    assert rows(rules.duplicates(tables, unique), "rule", "value", "n") == [("a(id where current)", "1", 2), ("b(kind)", "p", 2)]
+    assert rows(rules.dangling(tables, (rules.Refers("b", "a_id", "a", "id"), rules.Refers("a", "name", "b", "kind"))), "rule", "value", "n") == [("a(name)", "x", 2), ("a(name)", "y", 1), ("b(a_id)", "9", 2)]
+    assert rows(rules.outside(tables, (rules.Within("a", "id", 2, None), rules.Within("b", "a_id", 0, 5))), "rule", "value", "n") == [("a(id)", "1", 2), ("b(a_id)", "9", 2)]
+    assert rows(rules.strangers(tables, (rules.OneOf("b", "kind", ("p",)),)), "rule", "value", "n") == [("b(kind)", "q", 1)]
+    assert len(rules.REFERS) == 13 and len(rules.ONE_OF) == 9 and len(rules.UNIQUE) == 15
+
+
+def test_dimensions_need_their_record(spark):
+    chunks = spark.createDataFrame([(1, 0, [0.0, 1.0], 2), (2, 0, [0.0], 2), (3, 0, [0.0, 1.0], 3), (4, 0, None, 2), (5, 0, [1.0, 2.0], None)], "document_id long, chunk_index int, embedding array<double>, embed_dim int")
+    told = lambda config, wanted=2: {(r.document_id, r.problem) for r in rules.wrong_dimensions(chunks, spark.createDataFrame(config, "key string, value string"), wanted).collect()}
+    bad = {(2, "chunk"), (3, "chunk"), (4, "chunk"), (5, "chunk")}
+    assert told([("vector", '{"embed_dim": 2}'), ("other", "{}")]) == bad
+    assert told([("other", "{}")]) == bad | {(None, "missing")}
+    assert told([("vector", "{}")]) == told([("vector", "no json")]) == bad | {(None, "malformed")}
+    assert told([("vector", '{"embed_dim": 2}')], 64) == bad | {(None, "setting")}
