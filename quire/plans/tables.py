@@ -9,7 +9,7 @@ from quire.operators import relations as R
 from quire.operators import search
 from quire.operators.lineage import cut, shared_folder
 from quire.plans.registry import query
-from quire.sources import blobs, model
+from quire.sources import blob_store, blobs, model
 from quire.sources.corpus import Corpus
 from quire.sources.tables import TERMINAL, append, conform, explode_fields, read, retain
 
@@ -69,13 +69,33 @@ def scan_blobs(c):
     return blobs.scan(c.spark, folder).agg(F.count("*").alias("n"), F.sum("length").cast("long").alias("bytes"))
 
 
-@query("""with new as (select sha256, min(document_id) as document_id, any_value(size_bytes) as size_bytes from t_documents group by sha256)
-select 'originals/' || substr(sha256, 1, 2) || '/' || sha256 as blob_key, document_id from new
-where sha256 not in (select sha256 from t_documents where document_id % 3 = 0) and size_bytes <= 20000""")
+KEY = "'originals/' || substr(sha256, 1, 2) || '/' || sha256"
+
+
+@query(f"select {KEY} as blob_key, greatest(1, ceil(any_value(size_bytes) / 3000.0))::bigint as ranges, any_value(size_bytes) as bytes, sha256 from t_documents where sha256 is not null group by sha256")
+def scan_blob_ranges(c):
+    """Texts as blobs, written in parts and read in byte ranges, whose digest one after the other is that of the whole."""
+    folder = scratch(c)
+    one = c.documents.filter("sha256 is not null").dropDuplicates(["sha256"]).select(T.original_key(F.col("sha256")).alias("blob_key"), F.col("text").cast("binary").alias("bytes"), F.col("size_bytes").alias("size"))
+    parts = one.select("blob_key", "size", "bytes", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / 5000))).alias("part"))
+    blob_store.put(parts.select("blob_key", "part", F.substring("bytes", F.col("part") * 5000 + 1, F.lit(5000)).alias("content"), "size"), folder)
+    return blob_store.digests(blob_store.ranges(c.spark, folder, 3000, 1_000_000))
+
+
+@query(f"""with new as (select sha256, min(document_id) as document_id from t_documents where sha256 is not null and size_bytes <= 20000 group by sha256),
+stored as (select distinct sha256 from t_documents where document_id % 3 = 0 and sha256 is not null)
+select {KEY} as blob_key, document_id, case when sha256 in (from stored) then 'exists' when document_id % 7 = 0 then 'rejected' else 'written' end as outcome,
+ sha256 in (from stored) or document_id % 7 <> 0 as readable from new""")
 def sink_blobs_dedup(c):
-    docs = c.documents.withColumn("blob_key", T.original_key(F.col("sha256"))).withColumn("length", F.col("size_bytes"))
-    stored = docs.filter("document_id % 3 = 0").select("blob_key")
-    return blobs.to_write(docs.filter("size_bytes <= 20000"), stored).select("blob_key", "document_id")
+    """Blobs are written where their keys are not there yet; some are declared with a wrong size, and rejected."""
+    folder = scratch(c)
+    docs = c.documents.filter("sha256 is not null").select("document_id", T.original_key(F.col("sha256")).alias("blob_key"), F.col("text").cast("binary").alias("content"), F.col("size_bytes").alias("size"))
+    blob_store.put(docs.filter("document_id % 3 = 0").dropDuplicates(["blob_key"]), folder)
+    first = docs.filter("size <= 20000").groupBy("blob_key").agg(F.min_by(F.struct("document_id", "content", "size"), "document_id").alias("r")).select("blob_key", "r.*")
+    declared = first.withColumn("size", F.when(F.col("document_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    told = blob_store.put(declared, folder)
+    there = blob_store.ranges(c.spark, folder).select("blob_key").distinct().withColumn("_there", F.lit(True))
+    return told.join(first.select("blob_key", "document_id"), "blob_key").join(there, "blob_key", "left").select("blob_key", "document_id", "outcome", F.coalesce("_there", F.lit(False)).alias("readable"))
 
 
 @query("""select k.document_id, k.blob_key in (select 'originals/' || substr(sha256, 1, 2) || '/' || sha256 from t_documents where document_id % 2 = 0) as stored

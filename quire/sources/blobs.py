@@ -42,12 +42,6 @@ def write(rows: DataFrame, folder: str) -> None:
     rows.select("blob_key", "content").foreachPartition(put)
 
 
-def to_write(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of rows (blob_key, length, ...), one for each key that is not stored yet; the smallest document_id writes it."""
-    first = rows.groupBy("blob_key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "blob_key"]), "document_id").alias("r"))
-    return first.join(stored.select("blob_key").distinct(), "blob_key", "left_anti").select("blob_key", "r.*")
-
-
 def exists(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select("blob_key").distinct().withColumn("_s", F.lit(True)), "blob_key", "left").withColumn("stored", F.coalesce("_s", F.lit(False))).drop("_s")
 
