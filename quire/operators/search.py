@@ -134,32 +134,6 @@ def scored(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "document_id", cosine(F.col("_a"), F.col("_b")).alias("score")).filter("score is not null")
 
 
-def approximate(rows: DataFrame, queries: DataFrame, k: int, n_tables: int = 8, least_recall: float = 0.9, sample: int = 100) -> DataFrame:
-    """About the k nearest rows of each query, with score, rank and recall.
-
-    Candidates are the rows on a query's side of the hyperplanes of some table, verified by the exact
-    cosine. recall is measured on a sample of the queries against the exact search; while it is less than
-    least_recall, tables are doubled, and from 128 tables on buckets are widened instead. A query with
-    fewer than k candidates is searched exactly. rows: document_id, embedding; queries: query_id, embedding.
-    """
-    n = rows.count()
-    bits = bits_for(n)
-    probe = queries.filter("embedding is not null").orderBy(F.xxhash64("query_id", F.lit(5))).limit(sample)
-    true = cut(nearest(rows, probe, k))
-    n_true = true.count()
-    while True:
-        pairs = by_planes(rows, "document_id", n_tables, bits).join(by_planes(queries, "query_id", n_tables, bits), "key").select("query_id", "document_id").distinct()
-        found = scored(pairs, rows, queries).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)
-        found = cut(found)
-        recall = found.join(true.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi").count() / n_true if n_true else 1.0
-        if recall >= least_recall or bits == 0:
-            break
-        n_tables, bits = (n_tables * 2, bits) if n_tables < 128 else (n_tables, bits - min(bits, 2))
-    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
-    rest = nearest(rows, queries.join(full, "query_id", "left_anti"), k)
-    return found.join(full, "query_id", "left_semi").unionByName(rest).withColumn("recall", F.lit(round(recall, 4)))
-
-
 def alike(rows: DataFrame, least: float, missed: float = 1e-6) -> DataFrame:
     """rows: document_id, embedding. document_id and class_id, the smallest id that links reach: pairs whose cosine is
     least or more. A pair of exactly that likeness meets in no table with a chance of `missed`; the number

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.vectors import cosine, nearest
 from quire.operators import relations as R
-from quire.operators import rules, search, state
+from quire.operators import ivf, rules, search, state
 from quire.operators import versions as VS
 from quire.operators.lineage import cut
 from quire.plans.joins import KNN, query_vectors, review_rows, step_rows
@@ -344,8 +344,8 @@ def dense_topk(c):
 
 @query()
 def search_ann(c):
-    """Approximate neighbours by random hyperplanes, verified by the exact cosine; recall is measured against search_dense's method."""
-    return search.approximate(c.chunks, query_vectors(c), 10)
+    """Approximate neighbours by an inverted file, ranked by the exact cosine; recall is measured against search_dense's method."""
+    return ivf.approximate(c.chunks, query_vectors(c), 10)
 
 
 @query("select document_id from t_fields group by document_id having count(*) filter (key = 'total' and try_cast(value as double) >= 100000) > 0 and count(*) filter (key = 'status' and value in ('F', 'O')) > 0 and count(*) filter (key = 'customer' and contains(value, '1')) > 0")

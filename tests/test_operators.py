@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.functions.vectors import nearest
-from quire.operators import chunking, relations, rules, search, state, versions
+from quire.operators import chunking, ivf, relations, rules, search, state, versions
 from quire.sources import blobs
 from quire.sources.tables import STEP_ORDER
 
@@ -198,9 +198,30 @@ def test_approximate_search_finds_what_is_near(spark):
     rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([near, draw.standard_normal((400, 32))]))] + [(900, None)], "document_id long, embedding array<double>")
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "query_id long, embedding array<double>")
     exact = {(r.query_id, r.document_id) for r in nearest(rows_, asked, 5).collect()}
-    found = {(r.query_id, r.document_id) for r in search.approximate(rows_, asked, 5).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-    assert search.approximate(rows_.limit(0), asked, 5).count() == 0
+    found = ivf.approximate(rows_, asked, 5).collect()
+    assert len(exact & {(r.query_id, r.document_id) for r in found}) >= 0.9 * len(exact) and found[0].recall >= 0.9
+    assert ivf.approximate(rows_.limit(0), asked, 5).count() == 0
+    # A query of another size has no index; with more results than lists hold, the exact search fills in.
+    odd = rows_.unionByName(spark.createDataFrame([(950, [1.0, 2.0]), (951, [2.0, 1.0]), (952, [0.0, 0.0])], "document_id long, embedding array<double>"))
+    assert [r.document_id for r in ivf.approximate(odd, spark.createDataFrame([(1, [1.0, 1.9])], "query_id long, embedding array<double>"), 3).orderBy("rank").collect()] == [950, 951]
+
+
+def test_inverted_file_prunes_lists_and_splits_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "CHUNK", 50)
+    monkeypatch.setattr(ivf, "ASKED", 7)
+    draw = np.random.default_rng(5)
+    x = np.concatenate([0.1 * draw.standard_normal((600, 16)) + 3, draw.standard_normal((300, 16))])  # a third of the lists hold most rows
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "document_id long, embedding array<double>")
+    asked = rows_.filter("document_id % 20 = 0").withColumnRenamed("document_id", "query_id")
+    index = ivf.build(rows_)
+    assert len(index.centroids[16]) == 30
+    true = nearest(rows_, asked, 5)
+    shares = [ivf.recall(ivf.search(index, rows_, asked, 5, probes), true) for probes in (1, 4, 30)]
+    assert shares[0] <= shares[1] <= shares[2] and shares[1] > 0.8 and shares[2] > 0.98
+    plan = ivf.search(index, rows_, asked.limit(1), 5, 1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [size" in plan or "list#" in plan.split("PartitionFilters")[1][:200]
+    probes = ivf.probes_for(index, true, rows_, asked, 0.9)
+    assert probes <= 15 and ivf.recall(ivf.search(index, rows_, asked, 5, probes), true) > 0.85
 
 
 def test_text_functions(spark):
