@@ -3,16 +3,17 @@
 Vectors are compared within a label (and dimension) only. Equal vectors are one node. The nodes of
 a label are dealt to overlapping shards: those of their OVERLAP nearest pivots. In each shard a
 flat graph is built by inserting nodes in batches of growing size: a greedy search from the medoid
-finds candidates, robust pruning keeps MAX_DEGREE of them that point in different directions, and
-reverse edges are added and pruned likewise. A node's lists from all its shards are united. In
+finds candidates, robust pruning keeps the NEAR most alike and others that point in different directions, MAX_DEGREE
+in all, and reverse edges are added and pruned likewise. A node's lists from all its shards are united. In
 each of its shards, on that shard's part of the united graph, each node is searched for: greedily
 from the medoid (and from itself), and where that comes within range, the range is expanded along
 edges as long as they lead to nodes in range. Every link is verified by its cosine in double
 precision; a pair in several shards counts in the first of them.
 
 Each round's recall is audited: AUDIT nodes of any kind and AUDIT nodes with links are compared with
-all vectors. Below LEAST_RECALL the shards are dealt again with more overlap, ROUNDS times in all;
-labels that are still below it then are compared exactly, in pairs of blocks.
+all vectors. If that of the graphs is below LEAST_RECALL, all pairs within each shard are compared, whose work
+is bounded by shards too; if that is not enough, once more with more overlap; labels that are still below it then are
+compared exactly, in pairs of blocks.
 
 A shard of more than MAX_SHARD nodes is worked on in pairs of blocks, so no task holds more.
 
@@ -36,8 +37,10 @@ from quire.llm.common import cut, table
 from quire.operators.components import components
 
 OVERLAP, SHARD, MAX_SHARD, MAX_PIVOTS, ALL_PIVOTS = 4, 1000, 2048, 4096, 65_536
-MAX_DEGREE, BEAM, CANDIDATES, ALPHA = 16, 32, 64, 1.2
-AUDIT, LEAST_RECALL, ROUNDS = 200, 0.999, 3
+MAX_DEGREE, NEAR, BEAM, CANDIDATES, ALPHA = 24, 12, 32, 64, 1.2
+AUDIT, LEAST_RECALL = 200, 0.999
+#: (overlap, whether shards are compared exactly) of each round.
+ROUNDS = ((OVERLAP, False), (OVERLAP, True), (4 * OVERLAP, True))
 
 
 def beam_search(x, graph, queries, starts, width):
@@ -71,7 +74,8 @@ def beam_search(x, graph, queries, starts, width):
 
 
 def robust_prune(x, nodes, cand, degree):
-    """For each node, up to degree of its candidates: the most alike, none much nearer to one already kept."""
+    """For each node, up to degree of its candidates: the NEAR most alike, and of the others none much nearer to one already
+    kept. (Without the first, a node at the border of a tight group keeps one edge into it, and the group falls apart.)"""
     out = np.full((len(nodes), degree), -1)
     for at in range(0, len(nodes), 128):
         p, c = nodes[at : at + 128], cand[at : at + 128]
@@ -83,15 +87,20 @@ def robust_prune(x, nodes, cand, degree):
         far = 1 - np.where(bad, -np.inf, np.einsum("bd,bcd->bc", x[p], v))
         keep = np.argsort(far, axis=1)[:, :CANDIDATES]
         c, far, v = c[rows, keep], far[rows, keep], v[rows, keep]
-        between = 1 - v @ v.transpose(0, 2, 1)
+        between, kept = 1 - v @ v.transpose(0, 2, 1), np.zeros(far.shape, bool)
         for k in range(degree):
             best = np.argmin(far, axis=1)
             ok = np.isfinite(far[rows[:, 0], best])
             if not ok.any():
                 break
             out[at : at + 128, k] = np.where(ok, c[rows[:, 0], best], -1)
-            far[ALPHA * between[rows[:, 0], best] <= far] = np.inf
             far[rows[:, 0], best] = np.inf
+            kept[rows[:, 0], best] = ok
+            if k == NEAR - 1:
+                nearest = np.where(kept[:, :, None], between, np.inf).min(axis=1)
+                far[ALPHA * nearest <= far] = np.inf
+            elif k >= NEAR:
+                far[ALPHA * between[rows[:, 0], best] <= far] = np.inf
     return out
 
 
@@ -327,12 +336,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vectors: vec_id, embedding, label. Per row: vec_id, n_links, component_id, kept."""
     good = usable(vectors)
     nodes = cut(good.groupBy(*KEY).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
-    for number in range(ROUNDS):
-        tasks = cut(in_tasks(shard_rows(nodes, OVERLAP << number)))
-        found = cut(search(tasks.join(build(tasks), "node"), least))
+    for overlap, exact in ROUNDS:
+        tasks = cut(in_tasks(shard_rows(nodes, overlap)))
+        found = cut(search(tasks.withColumn("near", F.array().cast("array<long>")) if exact else tasks.join(build(tasks), "node"), least, exact))
         audited = audit(nodes, found, least)
         recall = sum(got for *_, got in audited) / max(1, sum(true for *_, true, _ in audited)) if any(true for *_, true, _ in audited) else 1.0
-        log.info("overlap %d: recall %.4f of %d links", OVERLAP << number, recall, sum(true for *_, true, _ in audited))
+        log.info("overlap %d%s: recall %.4f of %d links", overlap, ", shards compared exactly" if exact else "", recall, sum(true for *_, true, _ in audited))
         if recall >= LEAST_RECALL:
             break
     else:
