@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions.text import tokens
-from quire.functions.vectors import cosine, dot, nearest
+from quire.functions.vectors import nearest
 from quire.operators.components import components
+from quire.operators.ivf import usable
 from quire.operators.lineage import cut
 
-K1, B, RRF, SALT = 1.2, 0.75, 60, 8
+K1, B, RRF = 1.2, 0.75, 60
+#: Rows of a word that a task scores.
+POSTINGS = 100_000
+#: Vectors of a bucket's block, and rows of a task that compares blocks.
+BLOCK, CELL_ROWS = 4000, 20_000
 SEARCHABLE = ("validated", "completed")
 
 
@@ -36,15 +41,16 @@ def clamp(top_k: int) -> int:
     return min(top_k, 50)
 
 
-def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """rows: document_id, text; queries: query_id, words (array). Rows that hold all words of a query,
-    with their BM25 score and rank.
+def matches(rows: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows: document_id, text; queries: query_id, words (array). Word sets (of, query_id), and for each set the rows that hold all of
+    its words: of, document_id, score (BM25). pairs (query_id, document_id): only these are scored, by the statistics of all rows.
 
-    Texts are split into words once, and only the words that are asked for go on. Queries of the same
-    words are scored once. Words that most rows hold are split over SALT tasks.
+    Texts are split into words once, and only the words that are asked for go on. Queries of the same words are scored once. A word's
+    rows are dealt to as many tasks as their number asks for.
     """
     sets = queries.select("query_id", F.array_sort(F.array_distinct("words")).alias("set"))
     wanted = cut(sets.select("set").distinct()).select(F.xxhash64("set").alias("of"), F.explode("set").alias("word"), F.size("set").alias("n_words"))
+    of = sets.select(F.xxhash64("set").alias("of"), "query_id")
     vocabulary = [r.word for r in wanted.select("word").distinct().limit(1001).collect()]
     words = rows.select("document_id", tokens(F.col("text")).alias("words"))
     held = F.filter("words", lambda w: w.isin(vocabulary)) if len(vocabulary) <= 1000 else F.col("words")
@@ -53,14 +59,32 @@ def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
     overall = counts.groupBy("document_id", "size").agg(F.lit(1)).agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     counts = counts.filter("word is not null")
     idf = F.log((F.lit(overall.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = wanted.join(counts.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("idf", idf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    hits = counts.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(SALT)).cast("int")).join(weighed, ["word", "salt"])
+    known = counts.groupBy("word").agg(F.count("*").alias("df")).withColumn("salts", F.ceil(F.col("df") / POSTINGS).cast("int"))
+    weighed = wanted.join(known, "word").withColumn("idf", idf)
+    if pairs is not None:
+        asked = pairs.join(of, "query_id").select("of", "document_id").distinct()
+        hits = asked.join(weighed, "of").join(counts, ["document_id", "word"])
+    else:
+        salted = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        hits = counts.join(known.select("word", "salts"), "word").withColumn("salt", F.pmod(F.xxhash64("document_id"), F.col("salts")).cast("int")).drop("salts").join(salted.drop("salts"), ["word", "salt"])
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(overall["mean"] or 1.0)))
     # Summed in order of the words, so that the sum is the same everywhere; a set has few words.
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("word", weight.alias("w")))), F.lit(0.0), lambda s, x: s + x["w"])
     scored = hits.groupBy("of", "document_id").agg(F.round(total, 6).alias("score"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n = n_words")
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "document_id")))
-    return ranked.join(sets.select("query_id", F.xxhash64("set").alias("of")), "of").select("query_id", "document_id", "score", "rank")
+    return of, scored.select("of", "document_id", "score")
+
+
+def bm25(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows that hold all words of a query: query_id, document_id, score, rank. Each task hands on k rows a word set at most."""
+    of, scored = matches(rows, queries)
+    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)
+    return best.join(of, "of").select("query_id", "document_id", "score", "rank")
+
+
+def text_rank(rows: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The scores of pairs (query_id, document_id) whose row holds all words of the query."""
+    of, scored = matches(rows, queries, pairs)
+    return pairs.join(of, "query_id").join(scored, ["of", "document_id"]).select("query_id", "document_id", "score")
 
 
 def fuse(rankings: list[DataFrame], constant: int = RRF) -> DataFrame:
@@ -77,7 +101,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     hit gets its dense ranking and cosine scores (mode_used tells)."""
     n = fetch(top_k)
     dense = nearest(chunks, queries, n)
-    lexical = bm25(chunks, queries).filter(F.col("rank") <= n)
+    lexical = bm25(chunks, queries, n)
     has = lexical.select("query_id").distinct()
     fused = fuse([dense.join(has, "query_id", "left_semi"), lexical]).withColumn("mode_used", F.lit("hybrid"))
     plain = dense.join(has, "query_id", "left_anti").select("query_id", "document_id", "score", "rank").withColumn("mode_used", F.lit("dense"))
@@ -119,8 +143,7 @@ def by_planes(rows: DataFrame, name: str, n_tables: int, bits: int, seed: int =
                 keys = ((side @ place) * n_tables + np.arange(n_tables)) * 65536 + int(size)
                 yield pd.DataFrame({name: of[name].to_numpy(), "keys": keys.tolist()})
 
-    good = rows.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (dot(F.col("embedding"), F.col("embedding")) > 0))
-    return good.select(name, "embedding").mapInPandas(run, f"{name} long, keys array<long>").select(name, F.explode("keys").alias("key"))
+    return usable(rows).select(name, "embedding").mapInPandas(run, f"{name} long, keys array<long>").select(name, F.explode("keys").alias("key"))
 
 
 def bits_for(n: int) -> int:
@@ -128,10 +151,37 @@ def bits_for(n: int) -> int:
     return int(min(40, max(4, round(np.log2(max(n, 1) / 32)))))
 
 
-def scored(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs: query_id, document_id. With their exact cosine."""
-    met = pairs.join(rows.select("document_id", F.col("embedding").alias("_a")), "document_id").join(queries.select("query_id", F.col("embedding").alias("_b")), "query_id")
-    return met.select("query_id", "document_id", cosine(F.col("_a"), F.col("_b")).alias("score")).filter("score is not null")
+def linked(sides: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """sides: document_id, key. u, v: for vectors of one key that links of at least that cosine join, a link of each to the smallest of them.
+
+    Keys of one vector are left out first. A key of many is cut into blocks, and each pair of blocks is compared by a matrix
+    product in a task of its own; small keys share a task. What a task hands on is a link for each of its vectors, not its pairs.
+    """
+    shared = sides.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    each = sides.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("document_id", "key"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = cut(each.select("document_id", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit")))
+    n_cells = max(1, -(-each.count() // CELL_ROWS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit", "document_id"], ignore_index=True)
+        bounds = np.flatnonzero(np.append(True, pdf.unit.to_numpy()[1:] != pdf.unit.to_numpy()[:-1])).tolist() + [len(pdf)]
+        ids, found = pdf.document_id.to_numpy(), []
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            x = np.stack(pdf.embedding[start:end].to_list()).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            root = np.arange(end - start)
+            for first in range(0, len(x), 256):
+                for hits in x[first : first + 256] @ x.T >= least:
+                    of = root[hits]
+                    if len(of) and (of != of[0]).any():  # what one vector is linked to is one group, under its least
+                        root[np.isin(root, of)] = of.min()
+            at = np.flatnonzero(root != np.arange(end - start))
+            found.append(pd.DataFrame({"u": ids[start + at], "v": ids[start + root[at]]}))
+        return pd.concat(found, ignore_index=True).drop_duplicates()
+
+    cells = each.join(nodes.select("document_id", "embedding"), "document_id").groupBy(F.pmod("unit", F.lit(n_cells)).alias("cell"))
+    return cells.applyInPandas(run, "u long, v long").distinct()
 
 
 def alike(rows: DataFrame, least: float, missed: float = 1e-6) -> DataFrame:
@@ -143,8 +193,6 @@ def alike(rows: DataFrame, least: float, missed: float = 1e-6) -> DataFrame:
     bits = bits_for(nodes.count())
     met = (1 - np.arccos(least) / np.pi) ** bits
     sides = by_planes(nodes, "document_id", int(np.ceil(np.log(missed) / np.log(1 - met))), bits)
-    pairs = sides.withColumnRenamed("document_id", "query_id").join(sides, "key").filter("query_id < document_id").select("query_id", "document_id").distinct()
-    close = scored(pairs, nodes, nodes.withColumnRenamed("document_id", "query_id")).filter(F.col("score") >= least)
-    found = components(close.select(F.col("query_id").alias("u"), F.col("document_id").alias("v")))
+    found = components(linked(sides, nodes, least))
     classes = nodes.join(found, F.col("node") == F.col("document_id"), "left").select("embedding", F.coalesce("component", "document_id").alias("class_id"))
     return rows.select("document_id", "embedding").join(classes, "embedding", "left").select("document_id", F.coalesce("class_id", "document_id").alias("class_id"))

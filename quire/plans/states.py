@@ -303,12 +303,15 @@ lexical_ranked as (select *, row_number() over (partition by query_id order by s
 
 @query(f"with {BM25} select query_id, document_id, score, rank from lexical_ranked where rank <= 10")
 def search_sparse(c):
-    return search.bm25(c.chunks, term_queries(c)).filter("rank <= 10")
+    return search.bm25(c.chunks, term_queries(c), 10)
 
 
-@query(f"with {BM25} select query_id, document_id, score, rank from lexical_ranked")
+@query(f"with {BM25} select query_id, document_id, score from lexical where document_id // 25 = query_id // 25")
 def text_rank(c):
-    return search.bm25(c.chunks, term_queries(c))
+    """Scores of the documents that are asked for with each query: here those that follow it."""
+    queries = term_queries(c)
+    pairs = queries.select("query_id", F.explode(F.sequence("query_id", F.col("query_id") + 24)).alias("document_id"))
+    return search.text_rank(c.chunks, queries, pairs)
 
 
 HYBRID = f"""{BM25}, dense as (select q.query_id, c.document_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) as score from q join t_chunks c on true),
@@ -358,7 +361,7 @@ kept as (select *, sum(tokens) over (partition by query_id order by rank rows un
 select q.query_id, coalesce(sha256(string_agg('[doc:' || document_id || '] ' || text, chr(10) order by rank)), 'no_relevant_documents') as context from q left join kept using (query_id) group by q.query_id""")
 def rag_context(c):
     queries = term_queries(c)
-    hits = search.bm25(c.chunks, queries).filter("rank <= 10").join(c.chunks.select("document_id", "text"), "document_id")
+    hits = search.bm25(c.chunks, queries, 10).join(c.chunks.select("document_id", "text"), "document_id")
     kept = search.budgeted(hits.withColumn("tokens", T.estimate_tokens(F.col("text"))), 3000)
     line = F.concat(F.lit("[doc:"), "document_id", F.lit("] "), "text")
     listed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))

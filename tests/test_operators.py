@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,7 +189,7 @@ def test_field_search_needs_all_conditions(spark):
 def test_lexical_search_needs_all_words(spark):
     docs = spark.createDataFrame([(1, "Revenue report for ACME-2024-001"), (2, "tariff schedule"), (3, ""), (4, None)], "document_id long, text string")
     queries = spark.createDataFrame([(1, ["revenue", "report"]), (2, ["acme", "2024", "001"]), (3, ["revenue", "tariff"]), (4, [])], "query_id long, words array<string>")
-    assert rows(search.bm25(docs, queries), "query_id", "document_id", "rank") == [(1, 1, 1), (2, 1, 1)]
+    assert rows(search.bm25(docs, queries, 10), "query_id", "document_id", "rank") == [(1, 1, 1), (2, 1, 1)]
 
 
 def test_approximate_search_finds_what_is_near(spark):
@@ -329,3 +330,28 @@ def test_dimensions_need_their_record(spark):
     assert told([("other", "{}")]) == bad | {(None, "missing")}
     assert told([("vector", "{}")]) == told([("vector", "no json")]) == bad | {(None, "malformed")}
     assert told([("vector", '{"embed_dim": 2}')], 64) == bad | {(None, "setting")}
+
+
+def test_a_hot_word_is_scored_in_parts_and_pairs_are_asked_for(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("document_id"), F.concat(F.lit("common "), F.repeat(F.lit("word "), (F.col("id") % 7 + 1).cast("int"))).alias("text"))
+    queries = spark.createDataFrame([(1, ["common", "word"]), (2, ["word"]), (3, ["absent"])], "query_id long, words array<string>")
+    whole = rows(search.bm25(docs, queries, 300), "query_id", "rank", "document_id", "score")
+    monkeypatch.setattr(search, "POSTINGS", 20)
+    assert rows(search.bm25(docs, queries, 300), "query_id", "rank", "document_id", "score") == whole and len(whole) == 600
+    assert rows(search.bm25(docs, queries, 2), "query_id", "rank", "document_id", "score") == [r for r in whole if r[1] <= 2]
+    pairs = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (1, 999)], "query_id long, document_id long")
+    assert rows(search.text_rank(docs, queries, pairs), "query_id", "document_id", "score") == sorted((q, d, s) for q, _, d, s in whole if d == 5)
+
+
+def test_a_cluster_of_near_copies_is_one_class(spark):
+    """8,000 near copies, all in one bucket of most tables, beside spread-out vectors and a pair."""
+    draw = np.random.default_rng(6)
+    center = draw.standard_normal(16)
+    x = np.concatenate([center + 0.02 * draw.standard_normal((8_000, 16)), draw.standard_normal((500, 16))])
+    x = np.concatenate([x, x[-1:] * 2.5])
+    frame = spark.createDataFrame(pd.DataFrame({"document_id": np.arange(len(x)), "embedding": x.tolist()}), "document_id long, embedding array<double>")
+    got = {r.document_id: r.class_id for r in search.alike(frame, 0.93).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {got[i] for i in range(8_000)} == {0} and got[8_500] == got[8_499]
+    near = (y[8_000:] @ y.T >= 0.93).sum(1)
+    assert all(got[8_000 + i] == 8_000 + i for i in np.flatnonzero(near == 1))
