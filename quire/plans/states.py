@@ -156,11 +156,29 @@ def tag_bump(c):
     return told.select("document_id", F.col("version").alias("tag_version"), "outcome")
 
 
-@query("select source as slug, min(document_id) as tag_id, count(*) as asked from t_documents where source not in (select slug from t_tags) group by source")
+@query("""with asked as (select document_id, case when document_id % 5 = 0 then (select slug from t_tags where t_tags.tag_id = d.tag_id) else source end as slug, title as name from t_documents d),
+told as (select *, slug not in (select slug from t_tags) and row_number() over (partition by slug order by document_id) = 1 as made from asked)
+select document_id, slug, case when made then 'appended' else 'refused' end as outcome, case when made then name end as name,
+ case when made then '1 total number required, 2 kind' || document_id % 3 || ' string' end as fields from told""")
 def tag_create(c):
-    """Of several requests for a slug the first makes the tag; slugs that exist are refused."""
-    asked = c.documents.groupBy(F.col("source").alias("slug")).agg(F.min("document_id").alias("tag_id"), F.count("*").alias("asked"))
-    return asked.join(c.tags.select("slug"), "slug", "left_anti")
+    """Requests for tags, each with its fields in order. The first for a slug that isn't there makes the tag and its fields; the others are refused."""
+    folder = scratch(c)
+    append(conform(c.tags, "tags"), folder, "tags")
+    append(conform(c.tag_fields, "tag_fields"), folder, "tag_fields")
+    asked = c.documents.join(c.tags.select("tag_id", F.col("slug").alias("_there")), "tag_id").select(
+        (F.col("document_id") + 1000).alias("tag_id"), F.when(F.col("document_id") % 5 == 0, F.col("_there")).otherwise(F.col("source")).alias("slug"), F.col("title").alias("name"),
+        F.array(F.struct(F.lit("total").alias("key"), F.lit("number").alias("field_type"), F.lit(True).alias("is_required")),
+                F.struct(F.concat(F.lit("kind"), F.col("document_id") % 3).alias("key"), F.lit("string").alias("field_type"), F.lit(False).alias("is_required"))).alias("fields"))
+    told = cut(R.admit(read(c.spark, folder, "tags"), asked, ["slug"], [F.col("tag_id")]))
+    made = told.filter("outcome = 'appended'")
+    append(conform(made.withColumns({"version": F.lit(1), "is_active": F.lit(True)}), "tags"), folder, "tags")
+    append(conform(made.select("tag_id", F.posexplode("fields").alias("position", "f")).select("tag_id", (F.col("position") + 1).alias("position"), "f.*"), "tag_fields"), folder, "tag_fields")
+    stored = read(c.spark, folder, "tags")
+    assert rules.duplicates({"tags": stored, "tag_fields": read(c.spark, folder, "tag_fields")}.__getitem__, tuple(r for r in rules.UNIQUE if r.table in ("tags", "tag_fields"))).isEmpty()
+    shown = F.concat_ws(" ", F.col("position").cast("string"), "key", "field_type", F.when(F.col("is_required"), "required"))
+    listed = read(c.spark, folder, "tag_fields").groupBy("tag_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("s")))), lambda x: x["s"]), ", ").alias("fields"))
+    made = stored.select("tag_id", "name").join(listed, "tag_id", "left")
+    return told.select("tag_id", "slug", "outcome").join(made, "tag_id", "left").select((F.col("tag_id") - 1000).alias("document_id"), "slug", "outcome", "name", "fields")
 
 
 @query("""with gone as (select document_id from t_documents where deleted_at is not null)
@@ -180,10 +198,10 @@ def soft_delete(c):
     return found
 
 
-@query(f"select id, status, case when status = 'delivered' then strftime(created_at + interval 2 second, '%Y-%m-%d %H:%M:%S') end as delivered_at from t_deliveries where created_at < timestamp '{AT}'")
+@query("select id, status, case when status = 'delivered' then strftime(created_at + interval 2 second, '%Y-%m-%d %H:%M:%S') end as delivered_at from t_deliveries")
 def delivery_complete(c):
     at = F.when(F.col("status") == "delivered", F.date_format(F.col("created_at") + F.expr("interval 2 seconds"), "yyyy-MM-dd HH:mm:ss"))
-    return c.deliveries.filter(F.col("created_at") < as_of(AT)).select("id", "status", at.alias("delivered_at"))
+    return c.deliveries.select("id", "status", at.alias("delivered_at"))
 
 
 @query("""with recursive claims as (select id, document_id || ':' || event_type as key, floor(epoch(created_at))::bigint as made, sha256(payload) as response from t_events),
@@ -198,11 +216,19 @@ def idempotency_claim(c):
     return state.claims_within_ttl(claims)
 
 
-@query("select n.document_id, coalesce(o.tag_id, n.tag_id) as tag_id, o.tag_id is null as reset from (select min(document_id) as document_id, sha256, max(tag_id) as tag_id from t_documents where document_id % 2 = 1 and sha256 is not null group by sha256) n join (select sha256, max(case when document_id % 4 = 0 then tag_id end) as tag_id from t_documents where document_id % 2 = 0 group by sha256) o using (sha256)")
+@query(f"""with {FULL}, there as (select sha256, min(document_id) as document_id, min_by(case when document_id % 4 = 0 then tag_id end, document_id) as tag_id from t_documents where document_id % 2 = 0 and sha256 is not null group by sha256),
+new as (select sha256, min_by(tag_id, document_id) as tag_id from t_documents where document_id % 2 = 1 and document_id % 3 > 0 and sha256 is not null group by sha256),
+met as (select there.document_id, coalesce(there.tag_id, new.tag_id) as tag_id, there.tag_id is null as attached from there join new using (sha256))
+select m.document_id, m.tag_id, attached, step, case when attached and step_pos >= 4 then 'pending' else status end as status, case when attached and step_pos >= 4 then 0 else attempt end::int as attempt,
+ case when attached and step_pos >= 4 then null else error_code end as error_code from met m left join full_steps s on s.document_id = m.document_id""")
 def attach_tag_on_dup(c):
-    new = c.documents.filter("document_id % 2 = 1 and sha256 is not null").groupBy("sha256").agg(F.min("document_id").alias("document_id"), F.max("tag_id").alias("new_tag"))
-    old = c.documents.filter("document_id % 2 = 0").groupBy("sha256").agg(F.max(F.when(F.col("document_id") % 4 == 0, F.col("tag_id"))).alias("old_tag"))
-    return new.join(old, "sha256").select("document_id", F.coalesce("old_tag", "new_tag").alias("tag_id"), F.col("old_tag").isNull().alias("reset"))
+    """An upload that brings a tag, of content whose document has none, gives it to that; its steps begin anew at the extraction. A tag that is there stays."""
+    known = c.documents.filter("sha256 is not null")
+    there = known.filter("document_id % 2 = 0").groupBy("sha256").agg(F.min("document_id").alias("document_id"), F.min_by(F.when(F.col("document_id") % 4 == 0, F.col("tag_id")), "document_id").alias("old"))
+    new = known.filter("document_id % 2 = 1 and document_id % 3 > 0").groupBy("sha256").agg(F.min_by("tag_id", "document_id").alias("new"))
+    met = there.join(new, "sha256").select("document_id", F.coalesce("old", "new").alias("tag_id"), F.col("old").isNull().alias("attached"))
+    steps = state.reset_from(step_rows(c), met.filter("attached").select("document_id", F.lit("extract").alias("from_step")))
+    return met.join(steps, "document_id", "left").select("document_id", "tag_id", "attached", "step", "status", "attempt", "error_code")
 
 
 @query("select document_id, case when document_id % 3 = 0 then tag_id when document_confidence >= 0.7 then 2 end as tag_id, document_id % 3 <> 0 and document_confidence < 0.7 as needs_tag from t_documents")
@@ -369,16 +395,24 @@ def rag_context(c):
     return joined.select("query_id", F.coalesce(F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256), F.lit("no_relevant_documents")).alias("context"))
 
 
-@query("""with queue as (select document_id, tag_id, lag(document_id) over w as previous, lead(document_id) over w as next from t_documents where status = 'pending_review' and tag_id in (1, 2) and document_confidence between 0.1 and 0.9 and created_at < timestamp '2024-03-01' window w as (partition by tag_id order by document_confidence, document_id)),
-pages as (select document_id, count(*) as pages from t_pages group by document_id), specs as (select tag_id, string_agg(key, ',' order by position) as keys from t_tag_fields group by tag_id)
-select q.document_id, q.previous, q.next, pages, keys from queue q left join pages using (document_id) left join specs using (tag_id)""")
+@query(f"""with {CHECKED}, queue as (select document_id, tag_id, lag(document_id) over w as previous, lead(document_id) over w as next from t_documents where status = 'pending_review' and tag_id in (1, 2) and document_confidence between 0.1 and 0.9 and created_at < timestamp '2024-03-01' window w as (partition by tag_id order by document_confidence, document_id)),
+pages as (select document_id, string_agg(printf('pages/%s/%05d.png', document_id::varchar, page::int), ',' order by page) as page_keys from t_pages group by document_id),
+specs as (select tag_id, string_agg(key || ':' || field_type || case when is_required then '!' else '' end, ',' order by position) as schema from t_tag_fields group by tag_id),
+shown as (select c.document_id, string_agg(c.key || '=' || coalesce(c.value, '') || ' ' || round(c.confidence * 100)::int || '% p' || f.page || case when len(errors) > 0 then ' ' || array_to_string(errors, '+') else '' end, '; ' order by s.position) as fields
+ from checked c join t_fields f on f.document_id = c.document_id and f.key = c.key join t_tag_fields s on s.key = c.key and s.tag_id = f.tag_id group by c.document_id)
+select q.document_id, q.previous, q.next, schema, page_keys, fields from queue q left join pages using (document_id) left join specs using (tag_id) left join shown using (document_id)""")
 def review_payload(c):
+    """All that a review shows of a document: its fields as they are now, with confidence, page and errors, the schema they belong to, its pages, and its neighbours in the queue."""
     w = W.partitionBy("tag_id").orderBy("document_confidence", "document_id")
     queue = review_rows(c).select("document_id", "tag_id", F.lag("document_id").over(w).alias("previous"), F.lead("document_id").over(w).alias("next"))
-    pages = c.pages.groupBy("document_id").agg(F.count("*").alias("pages"))
-    listed = c.tag_fields.groupBy("tag_id").agg(F.array_sort(F.collect_list(F.struct("position", "key"))).alias("k"))
-    specs = listed.select("tag_id", F.array_join(F.transform("k", lambda x: x["key"]), ",").alias("keys"))
-    return queue.join(pages, "document_id", "left").join(specs, "tag_id", "left").select("document_id", "previous", "next", "pages", "keys")
+    in_order = lambda rows, by, order, text: rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))).alias("l"))
+    joined = lambda sep: F.array_join(F.transform("l", lambda x: x["t"]), sep)
+    pages = in_order(c.pages, "document_id", "page", T.page_key(F.col("document_id"), F.col("page"))).select("document_id", joined(",").alias("page_keys"))
+    specs = in_order(c.tag_fields, "tag_id", "position", F.concat("key", F.lit(":"), "field_type", F.when(F.col("is_required"), "!").otherwise(""))).select("tag_id", joined(",").alias("schema"))
+    errors = F.when(F.size("errors") > 0, F.concat(F.lit(" "), F.array_join("errors", "+"))).otherwise("")
+    field = F.concat("key", F.lit("="), F.coalesce("value", F.lit("")), F.lit(" "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% p"), F.col("page").cast("string"), errors)
+    fields = in_order(checked(c), "document_id", "position", field).select("document_id", joined("; ").alias("fields"))
+    return queue.join(pages, "document_id", "left").join(specs, "tag_id", "left").join(fields, "document_id", "left").select("document_id", "previous", "next", "schema", "page_keys", "fields")
 
 
 @query(f"with {CHECKED} select key, count(*) as n, count(*) filter (len(errors) > 0) as invalid, round(avg(adj), 6) as mean from adjusted group by key")

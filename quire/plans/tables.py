@@ -192,11 +192,14 @@ def expand_archives(c):
     return blobs.expand(packed).select("archive", "name", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"), "problem")
 
 
-@query("""select archive, count(*) as entries, sum(size)::bigint as total, count(*) > 500 or sum(size) > 100000 as over from
-(select source || '/' || (document_id % 64) as archive, coalesce(size_bytes, 0) as size from t_documents) group by archive""")
+@query("""with entries as (select source || '/' || (document_id % 64) as archive, coalesce(size_bytes, 0) as size, coalesce(size_bytes, 0) // (1 + document_id % 120) as packed, case when document_id % 40 = 0 then 2 else document_id % 2 end::int as depth from t_documents),
+told as (select archive, count(*) as entries, sum(size)::bigint as total, max(case when size = 0 then 0 when packed = 0 then 1e9 else size::double / packed end) as ratio, max(depth)::int as depth from entries group by archive)
+select archive, entries, total, round(least(ratio, 1e9), 6) as ratio, depth, case when entries > 500 then 'too_many_entries' when total > 100000 then 'too_large' when ratio > 100 then 'ratio' when depth > 1 then 'nested' end as problem from told""")
 def archive_limits(c):
-    entries = c.documents.select(F.concat("source", F.lit("/"), (F.col("document_id") % 64).cast("string")).alias("archive"), F.coalesce("size_bytes", F.lit(0)).alias("size"))
-    return blobs.over_limits(entries, 500, 100_000)
+    size = F.coalesce("size_bytes", F.lit(0))
+    entries = c.documents.select(F.concat("source", F.lit("/"), (F.col("document_id") % 64).cast("string")).alias("archive"), size.alias("size"),
+        F.floor(size / (1 + F.col("document_id") % 120)).alias("packed"), F.when(F.col("document_id") % 40 == 0, 2).otherwise(F.col("document_id") % 2).cast("int").alias("depth"))
+    return blobs.over_limits(entries, total=100_000).withColumn("ratio", F.round(F.least("ratio", F.lit(1e9)), 6))
 
 
 @query("""select document_id, 'originals/' || substr(sha256, 1, 2) || '/' || sha256 as original, printf('pages/%s/%05d.png', document_id::varchar, (document_id % 7 + 1)::int) as page, printf('thumbs/%s/%05d.jpg', document_id::varchar, (document_id % 7 + 1)::int) as thumb from t_documents""")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-#: Limits on archives: entries, bytes in all, bytes out per byte in.
-MAX_ENTRIES, MAX_TOTAL, MAX_RATIO = 500, 1 << 30, 100
+# Fixed values, limits on archives: entries, bytes in all, bytes out per byte in, archives within.
+MAX_ENTRIES, MAX_TOTAL, MAX_RATIO, MAX_DEPTH = 500, 1 << 30, 100, 1
 
 
 def scan(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -59,10 +59,13 @@ def manifest(files: DataFrame) -> DataFrame:
     return found.withColumn("blob_key", T.original_key(F.col("sha256")))
 
 
-def over_limits(entries: DataFrame, most: int = MAX_ENTRIES, total: int = MAX_TOTAL) -> DataFrame:
-    """entries: archive, size."""
-    found = entries.groupBy("archive").agg(F.count("*").alias("entries"), F.sum("size").cast("long").alias("total"))
-    return found.withColumn("over", (F.col("entries") > most) | (F.col("total") > total))
+def over_limits(entries: DataFrame, most: int = MAX_ENTRIES, total: int = MAX_TOTAL, ratio: float = MAX_RATIO, depth: int = MAX_DEPTH) -> DataFrame:
+    """entries: archive, size, packed (bytes as stored), depth (0 for an entry of the archive itself, 1 for one of an archive in it, ...).
+    Per archive: entries, total, ratio (of its worst entry; any bytes out of none are infinitely many), depth and the first limit it breaks as problem."""
+    each = F.when(F.col("size") == 0, 0.0).when(F.col("packed") == 0, float("inf")).otherwise(F.col("size") / F.col("packed"))
+    found = entries.groupBy("archive").agg(F.count("*").alias("entries"), F.sum("size").cast("long").alias("total"), F.max(each).alias("ratio"), F.max("depth").alias("depth"))
+    broken = F.when(F.col("entries") > most, "too_many_entries").when(F.col("total") > total, "too_large").when(F.col("ratio") > ratio, "ratio").when(F.col("depth") > depth, "nested")
+    return found.withColumn("problem", broken)
 
 
 def pack(entries: DataFrame) -> DataFrame:
