@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Stored states, steps and field types.
 STEP_ORDER = ("store", "decompose", "ocr", "extract", "embed", "review")
 DOCUMENT_STATUS = ("received", "processing", "pending_review", "validated", "completed", "failed", "quarantined")
 STEP_STATUS = ("pending", "running", "succeeded", "failed", "skipped")
