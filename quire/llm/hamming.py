@@ -8,7 +8,8 @@ then of segment 2, and so on, then r + 1. What it meets is verified by full dist
 segments at radius r - 1 and the first a segments at radius r, every entry within
 segments * r + a - 1 has been met; the search ends when the kth verified distance is within that.
 Blocks of data and groups of queries are dealt over tasks as a grid; a task returns k rows a query,
-and the k best of all blocks are kept. So nothing grows with pairs, and no code is left out.
+and the k best of all blocks are kept. No code is left out. (The grid's cells grow with blocks times groups of queries; what
+a cell returns grows with its queries.)
 
 Ties go to the smaller id. Edge cases: vectors that are null, empty, or hold nulls have no code and
 are neither found nor queried; nan counts as not positive. Codes are compared between vectors of

@@ -7,7 +7,8 @@ comments: by tag, role, class or id), or else the outermost container with lines
 
 Each line, of whatever region, has a ratio: its characters outside links, by its tags. In each
 region the ratios are smoothed with a Gaussian, so that a short paragraph between long ones counts
-as content, and then weighed by the region's mark, which shifts the decision but doesn't take it.
+as content, and then weighed by the region's mark. Marks weigh more than ratios differ on most pages, so
+they decide where a page has any, and ratios where it has none or where marked regions compete.
 Two-means clustering of all lines' weighed ratios sets the threshold, and a region is content if
 most of its text lies in lines above it; its lines are then taken whole. If no region passes, the
 one with the most weighed text that isn't marked as something else is taken. Only what is never
