@@ -157,8 +157,10 @@ def rocksdb(c):
     return lambda: c.spark.conf.set(key, before) if before else c.spark.conf.unset(key)
 
 
-@query("""with islands as (select webhook_id, id, status, sum(case when status = 'delivered' then 1 else 0 end) over (partition by webhook_id order by id) as island from t_deliveries),
-runs as (select webhook_id, id, row_number() over (partition by webhook_id, island order by id) as n from islands where status = 'failed') select webhook_id, min(id) as id from runs where n >= 5 group by webhook_id""")
+@query("""with told as (select webhook_id, id, status, epoch_us(created_at) as us from t_deliveries), passed as (select * from told where us <= (select (max(us) // 1000 - 3600000) * 1000 from told)),
+islands as (select webhook_id, id, us, status, sum(case when status = 'delivered' then 1 else 0 end) over (partition by webhook_id order by us, id) as island from passed),
+runs as (select webhook_id, id, us, row_number() over (partition by webhook_id, island order by us, id) as n from islands where status = 'failed')
+select webhook_id, id from (select *, row_number() over (partition by webhook_id order by us, id) as first from runs where n >= 5) where first = 1""")
 def stream_webhook_health(c):
     restore = rocksdb(c)
     try:

@@ -3,12 +3,11 @@
 Sources are streaming DataFrames with the columns of their batch twins; sinks are the caller's.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from quire.streaming.ordered import InOrder, with_time
 
 
 def read(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -40,33 +39,35 @@ def last_used(requests: DataFrame, width: str = "1 minute", delay: str = "1 minu
     return timed(requests, delay).groupBy(F.window("created_at", width).alias("w"), "key").agg(F.max("created_at").alias("last")).select("key", "last")
 
 
-class FailureCounter(StatefulProcessor):
-    """Failures in a row of one webhook; over `most` it is disabled, once."""
+class FailureCounter(InOrder):
+    """Failures in a row of one webhook, in order of time; from `most` on it is disabled, once."""
+
+    WAITING = "at long, id long, status string"
+    OUT = ["webhook_id", "id"]
 
     def __init__(self, most: int):
         self.most = most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "run long, disabled boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def passed(self, key: tuple, rows: list[tuple], upto: int) -> list[tuple]:
         run, disabled = self.state.get() if self.state.exists() else (0, False)
         out = []
-        for d in pd.concat(list(rows)).sort_values("id").itertuples():
-            run = 0 if d.status == "delivered" else run + 1
+        for _, delivery, status in rows:
+            run = 0 if status == "delivered" else run + 1
             if run >= self.most and not disabled:
                 disabled = True
-                out.append((key[0], int(d.id)))
+                out.append((*key, delivery))
         self.state.update((run, disabled))
-        yield pd.DataFrame(out, columns=["webhook_id", "id"])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def webhook_health(deliveries: DataFrame, most: int = 20) -> DataFrame:
-    return deliveries.select("webhook_id", "id", "status").groupBy("webhook_id").transformWithStateInPandas(
-        statefulProcessor=FailureCounter(most), outputStructType="webhook_id long, id long", outputMode="Append", timeMode="None")
+def webhook_health(deliveries: DataFrame, most: int = 20, delay: str = "1 hour") -> DataFrame:
+    """deliveries: webhook_id, id, status, created_at. The delivery at which a webhook is disabled. Needs the RocksDB state store; what
+    a trigger reads of one webhook is sorted in memory, so triggers are bounded by the source's options."""
+    keyed = with_time(deliveries, "created_at", "webhook_id", "id", "status").withWatermark("time", delay).groupBy("webhook_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=FailureCounter(most), outputStructType="webhook_id long, id long", outputMode="Append", timeMode="EventTime")
 
 
 def fan_out(rows: DataFrame, good: str, bad: str, is_bad, checkpoint: str):
