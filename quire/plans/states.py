@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.vectors import cosine, nearest
 from quire.operators import relations as R
-from quire.operators import ivf, rules, search, state
+from quire.operators import deletion, ivf, rules, search, state
 from quire.operators import versions as VS
 from quire.operators.lineage import cut
 from quire.plans.joins import KNN, query_vectors, review_rows, step_rows
@@ -181,20 +181,24 @@ def tag_create(c):
     return told.select("tag_id", "slug", "outcome").join(made, "tag_id", "left").select((F.col("tag_id") - 1000).alias("document_id"), "slug", "outcome", "name", "fields")
 
 
-@query("""with gone as (select document_id from t_documents where deleted_at is not null)
-select 'document' as part, document_id, case when deleted_at is not null then 'gone' when document_id % 5 = 0 then 'marked' else 'live' end as fate, 1 as n from t_documents
-union all select 'pages', document_id, 'kept', count(*) from t_pages where document_id not in (from gone) group by document_id
-union all select 'chunks', document_id, 'kept', count(*) from t_chunks where document_id not in (from gone) group by document_id
-union all select 'extractions', document_id, 'kept', count(*) from t_versions where document_id not in (from gone) group by document_id""")
+PURGED_AT = "2024-07-01 00:00:00"
+GONE = "(select document_id from t_documents where deleted_at is not null)"
+
+
+@query(f"select 'documents' as part, document_id, 1 as n, document_id % 5 = 0 as marked from t_documents where deleted_at is null union all "
+       + " union all ".join(f"select '{name}', document_id, count(*), null from ({model.sql(name)}) where document_id not in {GONE} group by document_id" for name in deletion.BELONGING))
 def soft_delete(c):
-    """Deletion first marks a document. What has been marked before is purged, with its pages, chunks and extractions."""
-    asked = c.documents.filter("document_id % 5 = 0").select("document_id", F.lit(True).alias("asked"))
-    gone = c.documents.filter("deleted_at is not null").select("document_id")
-    fate = F.when(F.col("deleted_at").isNotNull(), "gone").when(F.col("asked"), "marked").otherwise("live")
-    found = c.documents.join(asked, "document_id", "left").select(F.lit("document").alias("part"), "document_id", fate.alias("fate"), F.lit(1).cast("long").alias("n"))
-    for part, rows in (("pages", c.pages), ("chunks", c.chunks), ("extractions", c.versions)):
-        kept = rows.select("document_id").join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("n"))
-        found = found.unionByName(kept.select(F.lit(part).alias("part"), "document_id", F.lit("kept").alias("fate"), "n"))
+    """Documents asked for are marked; those marked before are purged, with all that belongs to them; the tables are read back."""
+    old, new = scratch(c), scratch(c)
+    for name in ("documents", *deletion.BELONGING):
+        append(model.table(c, name), old, name)
+    stored = lambda name: read(c.spark, old, name)
+    marked = deletion.mark(stored("documents"), c.documents.filter("document_id % 5 = 0"), as_of("2024-08-01 00:00:00"))
+    deletion.purge(stored, new, as_of(PURGED_AT), marked)
+    found = read(c.spark, new, "documents").select(F.lit("documents").alias("part"), "document_id", F.lit(1).cast("long").alias("n"), F.col("deleted_at").isNotNull().alias("marked"))
+    for name in deletion.BELONGING:
+        kept = read(c.spark, new, name).groupBy("document_id").agg(F.count("*").alias("n"))
+        found = found.unionByName(kept.select(F.lit(name).alias("part"), "document_id", "n", F.lit(None).cast("boolean").alias("marked")))
     return found
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.functions.vectors import nearest
-from quire.operators import chunking, ivf, relations, rules, search, state, versions
+from quire.operators import chunking, deletion, hooks, ivf, relations, rules, search, state, versions
 from quire.sources import blobs
-from quire.sources.tables import STEP_ORDER
+from quire.sources.tables import STEP_ORDER, conform, read
 
 
 def at():
@@ -355,3 +355,20 @@ def test_a_cluster_of_near_copies_is_one_class(spark):
     assert {got[i] for i in range(8_000)} == {0} and got[8_500] == got[8_499]
     near = (y[8_000:] @ y.T >= 0.93).sum(1)
     assert all(got[8_000 + i] == 8_000 + i for i in np.flatnonzero(near == 1))
+
+
+def test_deletion_marks_first_and_purges_later(spark, tmp_path):
+    stamp = lambda day: datetime.datetime(2024, 1, day)
+    documents = conform(spark.createDataFrame([(1, None), (2, stamp(1)), (3, stamp(9)), (4, None)], "document_id long, deleted_at timestamp_ntz"), "documents")
+    marked = deletion.mark(documents, spark.createDataFrame([(1,), (1,), (2,), (9,)], "document_id long"), F.lit(stamp(10)))
+    assert rows(marked.filter("deleted_at is not null"), "document_id", "deleted_at") == [(1, stamp(10)), (2, stamp(1)), (3, stamp(9))] and marked.count() == 4
+    tables = {name: conform(spark.createDataFrame([(i,) for i in (1, 2, 2, 3)], "document_id long"), name) for name in deletion.BELONGING} | {"documents": marked}
+    deletion.purge(tables.__getitem__, str(tmp_path), F.lit(stamp(5)))
+    assert rows(read(spark, str(tmp_path), "documents"), "document_id") == [(1,), (3,), (4,)]
+    assert all(rows(read(spark, str(tmp_path), name), "document_id") == [(1,), (3,)] for name in deletion.BELONGING)
+
+
+def test_default_vectors_of_like_texts_are_alike(spark):
+    texts = ["the invoice of march", "The invoice of April", "ein ganz anderer Satz", "", None]
+    v = np.array([r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", hooks.embedder(64)(F.col("t")).alias("v")).orderBy("i").collect()])
+    assert np.allclose(np.linalg.norm(v, axis=1), 1) and v[0] @ v[1] > 0.5 > v[0] @ v[2] and (v[3] == v[4]).all()
