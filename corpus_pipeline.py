@@ -2,17 +2,24 @@
 
 Toxic documents go; of each group of near copies one document stays; personal data and secrets are
 replaced; sources are mixed to target weights (documents may repeat, and end where the budget
-does); and the result is encoded. Every stage works on all that the one before kept. Null texts
-stay as they are; they have no words, so they end at the mixing stage.
+does); and the result is encoded. Every stage works on all that the one before kept.
+
+Documents have doc_id, text, lang and source; the last stage needs these four, and returns doc_id, lang and
+source with the ids. The stages before it pass all columns on, whatever their names.
+
+Edge cases: null texts are not toxic, have no near copies and stay as they are; they have no words, so they end at the mixing stage,
+as empty ones do. Texts of any length are read whole; the mix may end within one. Rows of a null doc_id have no
+near copies. Of rows repeated with their id and text the mix takes each for itself; of equal texts with several ids one stays, that of the
+smallest id, and ties elsewhere are settled by hashes of ids and texts. An empty table gives no rows.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import minhash, mixing, pii, sentencepiece_codec, toxicity
+from quire.operators.lineage import discard, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over documents. What a stage leaves is written to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quire-", dir="/tmp")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages, over documents. What a stage leaves is written to the cluster's shared folder, and discarded once the next is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{number}")
             docs = spark.read.parquet(f"{folder}/{number}")
+            if number:
+                discard(spark, f"{folder}/{number - 1}")
     return docs
