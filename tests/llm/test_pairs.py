@@ -161,3 +161,25 @@ def test_the_audit_counts_what_is_missed(spark):
     assert sorted(vector_dedup.audit(nodes, part, 0.93)) == [(0, 12, 60, 57), (1, 12, 60, 60)]
     none = exact.limit(0)
     assert sorted(vector_dedup.audit(nodes, none, 0.93)) == [(0, 12, 60, 0), (1, 12, 60, 0)]
+
+
+def test_graphs_hold_tight_groups_together():
+    """A group whose members lie at different distances from its middle, among spread-out vectors: the search alone meets nearly all of it."""
+    draw = np.random.default_rng(9)
+    middle = draw.standard_normal(64)
+    group = middle + draw.uniform(0.01, 0.2, (230, 1)) * draw.standard_normal((230, 64))
+    x = vector_dedup.unit(np.concatenate([group, draw.standard_normal((700, 64))]))
+    graph = vector_dedup.build_graph(x)
+    got = {(i, int(j)) for i, js in vector_dedup.in_range(x, graph, 0.93) for j in js}
+    want = {(i, int(j)) for i, js in vector_dedup.all_in_range(x, 0.93) for j in js}
+    assert got <= want and len(want - got - {(j, i) for i, j in got}) <= 0.002 * len(want) and len(want) > 40_000
+
+
+def test_vector_queries_with_clashing_columns(spark, sf_dir):
+    """Columns whose names the operators use inside, and others, change nothing."""
+    plain = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    clash = plain.withColumns({c: F.lit(1) for c in ("node", "size", "h1", "h2", "vector", "copies", "shards", "task", "near", "n", "_of", "id", "code", "rank", "block", "query_id", "words", "distance")})
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(vector_dedup.near_duplicates(clash)) == told(vector_dedup.near_duplicates(plain))
+    named = clash.drop("id").withColumnRenamed("vec_id", "id")
+    assert told(hamming.top_k(named, named.id % 50 == 0)) == told(hamming.top_k(plain.select(F.col("vec_id").alias("id"), "embedding"), F.col("id") % 50 == 0))

@@ -331,6 +331,18 @@ def test_word_by_word_equals_the_library_on_whole_documents(spark):
     assert back == codec.reference.decode(codec.reference.encode(texts)) and whole == [a == b for a, b in zip(back, texts)]
 
 
+def test_the_encoding_query_equals_the_library(spark, sf_dir):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = sentencepiece_codec.op1_sentencepiece(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.parity) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), None if texts[r.doc_id] is None else True) or (texts[r.doc_id] is None and r.n_tokens == 0)
+
+
 def test_words_that_disagree_are_reported_and_not_replaced(monkeypatch):
     codec = sentencepiece_codec.Codec(hand_model(2, PAIRS))
     given = codec.reference.encode(["hello low", "low"])
