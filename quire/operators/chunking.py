@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
 
-from quire.functions.text import estimate_tokens, sentences
+from quire.functions.text import CJK, estimate_tokens, sentences
 
 TARGET, OVERLAP = 512, 64
 LONGEST_WORD = 1000
@@ -33,26 +33,37 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(apart, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\n+|\n+$", ""))), lambda p: p != "")
 
 
+def wrapped(text: Column, width: Column) -> Column:
+    """Lines of a long text, between words (those too long are cut): a word goes to the line in which it ends, in steps of width characters."""
+    words = F.split(F.regexp_replace(text, rf"([^ ]{{{LONGEST_WORD}}})", "$1 "), " ")
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).cast("long").alias("line"), F.expr("cast(array() as array<string>)").alias("lines"))
+
+    def add(done: Column, word: Column) -> Column:
+        line = F.floor((done["end"] + F.length(word) - 1) / width)
+        n = F.size(done["lines"])
+        longer = F.concat(F.slice(done["lines"], F.lit(1), n - 1), F.array(F.concat(F.element_at(done["lines"], -1), F.lit(" "), word)))
+        lines = F.when(line == done["line"], longer).otherwise(F.concat(done["lines"], F.array(word)))
+        return F.struct((done["end"] + F.length(word) + 1).alias("end"), line.alias("line"), lines.alias("lines"))
+
+    return F.aggregate(words, start, add, lambda done: F.filter(F.transform(done["lines"], F.trim), lambda x: x != ""))
+
+
 def pieces(pages: DataFrame, target: int = TARGET) -> DataFrame:
     """pages: document_id, page, text. Pieces with their place, tokens, and the tokens of their whole paragraph."""
-    each = pages.select("document_id", "page", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "_p"))
-    table, small = F.col("_p").startswith("|"), estimate_tokens(F.col("_p")) <= 2 * target
-    cut = F.when(table & small, F.array("_p")).when(table, F.split("_p", "\n")).otherwise(sentences(F.col("_p")))
-    counted = F.transform(cut, lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("tokens")))
-    whole = F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + s["tokens"])
-    rows = each.withColumn("_s", counted).withColumn("whole", whole).withColumn("_table", table & small)
-    rows = rows.select("document_id", "page", "paragraph", "whole", "_table", F.posexplode("_s").alias("place", "_s")).select("*", "_s.text", "_s.tokens")
-    fits = F.col("_table") | (F.col("tokens") <= target)
-    short = rows.filter(fits).withColumn("line", F.lit(0))
-    # Words of long sentences go to lines by where they end, in steps of the characters that make up a chunk.
-    long = rows.filter(~fits).withColumn("_width", F.floor(F.length("text") * target / F.col("tokens")))
-    words = long.select("document_id", "page", "paragraph", "place", "whole", "_width", F.posexplode(F.split(F.regexp_replace("text", rf"([^ ]{{{LONGEST_WORD}}})", "$1 "), " ")).alias("_i", "_w"))
-    ends = F.sum(F.length("_w") + 1).over(W.partitionBy("document_id", "page", "paragraph", "place").orderBy("_i")) - 1
-    lined = words.withColumn("line", F.floor((ends - 1) / F.col("_width")).cast("int")).groupBy("document_id", "page", "paragraph", "place", "line", "whole").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda w: w["_w"]), " ").alias("text"))
-    lined = lined.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("tokens", estimate_tokens(F.col("text")))
-    columns = [c.split()[0] for c in PIECE.split(", ")]
-    return short.select(*columns).unionByName(lined.select(*columns))
+    # What is used more than once goes through an array that is exploded, so that it is computed once.
+    found = F.transform(paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), p.rlike(CJK).alias("wide")))
+    each = pages.select("document_id", "page", F.posexplode(found).alias("paragraph", "p"))
+    n = lambda text: F.when(F.col("p.wide"), estimate_tokens(text)).otherwise(F.ceil(F.length(text) / 4.0).cast("long"))
+    table = F.col("p.text").startswith("|")
+    whole_table = table & (n(F.col("p.text")) <= 2 * target)
+    cut = F.when(whole_table, F.array("p.text")).when(table, F.split("p.text", "\n")).otherwise(sentences(F.col("p.text")))
+    each = each.withColumn("s", F.transform(cut, lambda s: F.struct(s.alias("text"), n(s).alias("tokens"))))
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda sum_, s: sum_ + s["tokens"])
+    rows = each.select("document_id", "page", "paragraph", "p", total.alias("whole"), F.posexplode("s").alias("place", "s"))
+    fits = (F.col("s.tokens") <= target) | whole_table
+    again = F.transform(wrapped(F.col("s.text"), F.floor(F.length("s.text") * target / F.col("s.tokens"))), lambda x: F.struct(x.alias("text"), n(x).alias("tokens")))
+    lined = rows.select("document_id", "page", "paragraph", "place", "whole", F.posexplode(F.when(fits, F.array("s")).otherwise(again)).alias("line", "s"))
+    return lined.select("document_id", "page", "paragraph", "place", "line", "s.text", "s.tokens", "whole")
 
 
 class Packer:

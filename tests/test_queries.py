@@ -22,6 +22,11 @@ def test_query(spark, sf_dir, con, name):
         assert df.count() >= 0 and df.columns
 
 
+def test_approximate_neighbours_are_mostly_the_exact_ones(spark, sf_dir):
+    found, exact = ({(r.query_id, r.document_id) for r in QUERIES[name](spark, sf_dir).collect()} for name in ("search_ann", "knn_cross_join"))
+    assert len(found & exact) >= 0.9 * len(exact) and len(found) == len(exact)
+
+
 def test_entry(spark):
     import __spark_entry__
 
