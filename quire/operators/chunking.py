@@ -50,19 +50,20 @@ def wrapped(text: Column, width: Column) -> Column:
 
 def pieces(pages: DataFrame, target: int = TARGET) -> DataFrame:
     """pages: document_id, page, text. Pieces with their place, tokens, and the tokens of their whole paragraph."""
-    # What is used more than once goes through an array that is exploded, so that it is computed once.
+    # What is used more than once goes through an array that is exploded, so that it is computed once. The outer form keeps the
+    # optimiser from computing arrays again for a filter of empty ones; their rows are left out after it.
     found = F.transform(paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), p.rlike(CJK).alias("wide")))
-    each = pages.select("document_id", "page", F.posexplode(found).alias("paragraph", "p"))
+    each = pages.select("document_id", "page", F.posexplode_outer(found).alias("paragraph", "p")).filter("paragraph is not null")
     n = lambda text: F.when(F.col("p.wide"), estimate_tokens(text)).otherwise(F.ceil(F.length(text) / 4.0).cast("long"))
     table = F.col("p.text").startswith("|")
     whole_table = table & (n(F.col("p.text")) <= 2 * target)
     cut = F.when(whole_table, F.array("p.text")).when(table, F.split("p.text", "\n")).otherwise(sentences(F.col("p.text")))
     each = each.withColumn("s", F.transform(cut, lambda s: F.struct(s.alias("text"), n(s).alias("tokens"))))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda sum_, s: sum_ + s["tokens"])
-    rows = each.select("document_id", "page", "paragraph", "p", total.alias("whole"), F.posexplode("s").alias("place", "s"))
+    rows = each.select("document_id", "page", "paragraph", "p", total.alias("whole"), F.posexplode_outer("s").alias("place", "s")).filter("place is not null")
     fits = (F.col("s.tokens") <= target) | whole_table
     again = F.transform(wrapped(F.col("s.text"), F.floor(F.length("s.text") * target / F.col("s.tokens"))), lambda x: F.struct(x.alias("text"), n(x).alias("tokens")))
-    lined = rows.select("document_id", "page", "paragraph", "place", "whole", F.posexplode(F.when(fits, F.array("s")).otherwise(again)).alias("line", "s"))
+    lined = rows.select("document_id", "page", "paragraph", "place", "whole", F.posexplode_outer(F.when(fits, F.array("s")).otherwise(again)).alias("line", "s")).filter("line is not null")
     return lined.select("document_id", "page", "paragraph", "place", "line", "s.text", "s.tokens", "whole")
 
 
