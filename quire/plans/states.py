@@ -220,7 +220,7 @@ def idempotency_claim(c):
     return state.claims_within_ttl(claims)
 
 
-@query(f"""with {FULL}, there as (select sha256, min(document_id) as document_id, min_by(case when document_id % 4 = 0 then tag_id end, document_id) as tag_id from t_documents where document_id % 2 = 0 and sha256 is not null group by sha256),
+@query(f"""with {FULL}, there as (select sha256, min(document_id) as document_id, arg_min_null(case when document_id % 4 = 0 then tag_id end, document_id) as tag_id from t_documents where document_id % 2 = 0 and sha256 is not null group by sha256),
 new as (select sha256, min_by(tag_id, document_id) as tag_id from t_documents where document_id % 2 = 1 and document_id % 3 > 0 and sha256 is not null group by sha256),
 met as (select there.document_id, coalesce(there.tag_id, new.tag_id) as tag_id, there.tag_id is null as attached from there join new using (sha256))
 select m.document_id, m.tag_id, attached, step, case when attached and step_pos >= 4 then 'pending' else status end as status, case when attached and step_pos >= 4 then 0 else attempt end::int as attempt,
