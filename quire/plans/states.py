@@ -182,13 +182,13 @@ def tag_create(c):
 
 
 PURGED_AT = "2024-07-01 00:00:00"
-GONE = "(select document_id from t_documents where deleted_at is not null)"
+GONE = f"(select document_id from t_documents where deleted_at < timestamp '{PURGED_AT}')"
 
 
-@query(f"select 'documents' as part, document_id, 1 as n, document_id % 5 = 0 as marked from t_documents where deleted_at is null union all "
+@query(f"select 'documents' as part, document_id, 1 as n, document_id % 5 = 0 or deleted_at is not null as marked from t_documents where deleted_at is null or deleted_at >= timestamp '{PURGED_AT}' union all "
        + " union all ".join(f"select '{name}', document_id, count(*), null from ({model.sql(name)}) where document_id not in {GONE} group by document_id" for name in deletion.BELONGING))
 def soft_delete(c):
-    """Documents asked for are marked; those marked before are purged, with all that belongs to them; the tables are read back."""
+    """Documents asked for are marked; those marked before a day are purged, with all that belongs to them; the tables are read back."""
     old, new = scratch(c), scratch(c)
     for name in ("documents", *deletion.BELONGING):
         append(model.table(c, name), old, name)
