@@ -81,10 +81,21 @@ def bm25(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.join(of, "of").select("query_id", "document_id", "score", "rank")
 
 
-def text_rank(rows: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The scores of pairs (query_id, document_id) whose row holds all words of the query."""
+def text_rank(rows: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The scores of pairs (query_id, document_id) whose row holds all words of the query. Without pairs, of all such rows, with their rank.
+
+    Hits of a word set are ranked in ranges of their order, and dealt to as many tasks again before they meet its queries.
+    """
     of, scored = matches(rows, queries, pairs)
-    return pairs.join(of, "query_id").join(scored, ["of", "document_id"]).select("query_id", "document_id", "score")
+    if pairs is not None:
+        return pairs.join(of, "query_id").join(scored, ["of", "document_id"]).select("query_id", "document_id", "score")
+    parts, order = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [F.desc("score"), F.col("document_id")]
+    placed = cut(scored.repartitionByRange(parts, "of", *order).withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy("of", "range").agg(F.count("*").alias("n")).select("of", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    ranked = placed.withColumn("nth", F.row_number().over(W.partitionBy("of", "range").orderBy(*order))).join(starts, ["of", "range"])
+    ranked = ranked.select("of", "document_id", "score", (F.col("start") + F.col("nth")).cast("int").alias("rank"), F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int").alias("part"))
+    return ranked.join(of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["of", "part"]).select("query_id", "document_id", "score", "rank")
 
 
 def fuse(rankings: list[DataFrame], constant: int = RRF) -> DataFrame:

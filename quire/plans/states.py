@@ -336,12 +336,10 @@ def search_sparse(c):
     return search.bm25(c.chunks, term_queries(c), 10)
 
 
-@query(f"with {BM25} select query_id, document_id, score from lexical where document_id // 25 = query_id // 25")
+@query(f"with {BM25} select query_id, document_id, score, rank from lexical_ranked")
 def text_rank(c):
-    """Scores of the documents that are asked for with each query: here those that follow it."""
-    queries = term_queries(c)
-    pairs = queries.select("query_id", F.explode(F.sequence("query_id", F.col("query_id") + 24)).alias("document_id"))
-    return search.text_rank(c.chunks, queries, pairs)
+    """Scores and ranks of all documents that hold all words of a query."""
+    return search.text_rank(c.chunks, term_queries(c))
 
 
 HYBRID = f"""{BM25}, dense as (select q.query_id, c.document_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) as score from q join t_chunks c on true),
