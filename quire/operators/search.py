@@ -111,8 +111,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """queries: query_id, embedding, words. Dense and lexical rankings fused; a query without a lexical
     hit gets its dense ranking and cosine scores (mode_used tells)."""
     n = fetch(top_k)
-    dense = nearest(chunks, queries, n)
-    lexical = bm25(chunks, queries, n)
+    dense = cut(nearest(chunks, queries, n))  # either is used more than once
+    lexical = cut(bm25(chunks, queries, n))
     has = lexical.select("query_id").distinct()
     fused = fuse([dense.join(has, "query_id", "left_semi"), lexical]).withColumn("mode_used", F.lit("hybrid"))
     plain = dense.join(has, "query_id", "left_anti").select("query_id", "document_id", "score", "rank").withColumn("mode_used", F.lit("dense"))
