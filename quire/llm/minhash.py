@@ -7,16 +7,19 @@ its order with one common prefix: of DEPTHS[0] values where at most MAX_REGION c
 and else of as many more as it takes (the depth adapts by region). All in a region are neighbours by
 longest common prefix, nearest first, and are candidates of one another. Where more than
 MAX_REGION classes still share DEPTHS[-1] values (they are nearly the same then), the order goes on
-by a hash, another one in each tree, and is cut into runs of that size. As deep regions
-lose pairs of moderate similarity, there is a second pass over the classes that were in a crowded
-region: of each region of DEPTHS[0] values, the classes that are not in its main component yet are
-compared with all of it, in parts. Where too many are apart for that, the depth adapts again.
+by a hash, another one in each tree, and is cut into runs of that size. As deep regions and runs
+lose pairs of moderate similarity, there is a second pass over the crowded
+regions: of each region of DEPTHS[0] values, the classes that are not in its main component yet are
+compared with all of it, in parts. Where too many are apart for that, the depth adapts again, and what is
+apart then is compared with the whole region of DEPTHS[0] values in a third pass: classes are dealt into
+blocks, and each block of those apart meets every other block in a task of its own. So in the end all classes that share
+DEPTHS[0] values in a tree were compared, or are joined already.
 
 A candidate pair is compared by sketches (a byte of each hash), in the first region only that the
 two share. Pairs whose sketches agree well enough are confirmed on full sets, best first; those that
 confirmed links of the task join already need no confirmation. So a task gives at most one link per
-class and no rows per pair, however large the group. What stays open: classes of a crowded region whose common values no depth
-splits are compared within the runs that hashes cut only, in as many ways as there are trees.
+class and no rows per pair, however large the group. The third pass is quadratic in the classes of a region that stay apart
+(copies of one text are one class, and those that links join don't count).
 
 Edge cases: null or empty texts have no set, are linked with nothing and are kept. Rows of a null
 doc_id are linked with nothing, have a null component and are kept. Very long texts are shingled
@@ -103,7 +106,7 @@ def cut_by_hash(rows: DataFrame, counts: DataFrame, max_region: int) -> DataFram
 
 def in_regions(classes: DataFrame, max_region: int) -> tuple[DataFrame, DataFrame | None]:
     """classes: rep, signature and others. One row per class and tree with its region, and regions, those of all trees
-    in their order; and the reps of classes in regions that were crowded at first, if any."""
+    in their order; and the rows (rep, tree, region) of regions that were crowded at first, if any."""
 
     def crowded(rows):
         return cut(rows.groupBy("region").count().filter(F.col("count") > max_region))
@@ -114,7 +117,7 @@ def in_regions(classes: DataFrame, max_region: int) -> tuple[DataFrame, DataFram
         return classes.withColumn("regions", F.array(*[prefix(F.lit(t), DEPTHS[0]) for t in TREES])).select("*", F.posexplode("regions").alias("tree", "region")), None
     settled, signatures = rows.join(large, "region", "left_anti"), classes.select("rep", "signature")
     pending = cut(rows.join(large, "region", "left_semi"))
-    among_many = pending.select("rep").distinct()
+    among_many = pending
     for depth in DEPTHS[1:]:
         rows = deeper(pending, signatures, depth)
         large = crowded(rows)
@@ -127,14 +130,19 @@ def in_regions(classes: DataFrame, max_region: int) -> tuple[DataFrame, DataFram
     return classes.join(cut(listed), "rep").select("*", F.posexplode("regions").alias("tree", "region")), among_many
 
 
-def apart_in_regions(classes: DataFrame, max_region: int) -> DataFrame:
-    """As in_regions, for the second pass: of is what a class is joined with so far. In a region that isn't of one
-    component, the classes outside its main one (at most max_region / 2) are with each part of the main one."""
-    signatures, settled = classes.select("rep", "signature"), []
-    rows = at_first_depth(classes)
-    for number, depth in enumerate(DEPTHS):
-        held = rows.join(classes.select("rep", "of"), "rep").groupBy("region", "of").agg(F.count("*").alias("n"))
-        mixed = cut(held.groupBy("region").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("count")).filter("most < count"))
+def mixed_regions(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Regions that aren't of one component: the main one, its classes (most) and those of the region (count)."""
+    held = rows.join(classes.select("rep", "of"), "rep").groupBy("region", "of").agg(F.count("*").alias("n"))
+    return cut(held.groupBy("region").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("count")).filter("most < count"))
+
+
+def apart_in_regions(classes: DataFrame, rows: DataFrame, max_region: int) -> tuple[DataFrame, DataFrame | None]:
+    """As in_regions, for the second pass over rows of crowded regions: of is what a class is joined with so far. In a region that
+    isn't of one component, the classes outside its main one (at most max_region / 2) are with each part of the main one.
+    Also the rows of regions in which more are apart, which are left to the third pass."""
+    signatures, settled, left = classes.select("rep", "signature"), [], None
+    for number in range(len(DEPTHS)):
+        mixed = mixed_regions(classes, rows)
         few = F.col("count") - F.col("most") <= max_region // 2
         parts = F.ceil(F.col("most") * 2 / max_region).cast("int")
         placed = rows.join(mixed.filter(few), "region").join(classes.select("rep", "of"), "rep")
@@ -144,11 +152,25 @@ def apart_in_regions(classes: DataFrame, max_region: int) -> DataFrame:
         if large.isEmpty():
             break
         rows = rows.join(large, "region", "left_semi")
+        if left is None:
+            left = rows = cut(rows)
         if number + 1 == len(DEPTHS):
             settled.append(cut_by_hash(rows, large, max_region))
         else:
             rows = deeper(rows, signatures, DEPTHS[number + 1])
-    return functools.reduce(DataFrame.unionByName, settled).join(classes, "rep").withColumn("regions", F.expr("cast(array() as array<long>)"))
+    return functools.reduce(DataFrame.unionByName, settled).join(classes, "rep").withColumn("regions", F.expr("cast(array() as array<long>)")), left
+
+
+def apart_in_blocks(classes: DataFrame, rows: DataFrame, mixed: DataFrame, max_region: int) -> DataFrame:
+    """As apart_in_regions, for the third pass, whatever number is apart: each block of those outside the main component with each other block of
+    the region, so with all of it. Two blocks hold about max_region / 2 classes."""
+    apart, parts = (F.ceil(F.col(n) * 4 / max_region).cast("int") for n in ("outside", "most"))
+    placed = rows.join(mixed.withColumn("outside", F.col("count") - F.col("most")), "region").join(classes.select("rep", "of"), "rep")
+    among, inside = F.xxhash64("rep", "region"), F.col("of") == F.col("main")
+    placed = placed.withColumn("block", F.when(inside, apart + F.pmod(among, parts)).otherwise(F.pmod(among, apart)).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, apart).otherwise(apart + parts) - 1))).filter("block <> other")
+    unit = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    return placed.select("rep", "tree", unit.alias("region")).join(classes, "rep").withColumn("regions", F.expr("cast(array() as array<long>)"))
 
 
 def runs(batches, columns):
@@ -185,14 +207,14 @@ def close_pairs(run, least: int):
             yield i, i + apart, agree[i]
 
 
-def links_of(docs: DataFrame, classes: DataFrame, percent: int, max_region: int, again: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def links_of(docs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Confirmed links u, v between classes with another `of` that connect all that are percent % alike or more and
-    meet in a tree; and the reps of classes in crowded regions, if any."""
+    are placed in a region together."""
     p = percent / 100
     least = int(N_HASHES * (p - DEVIATIONS * (p * (1 - p) / N_HASHES) ** 0.5))
     names = ["region", "tree", "rep", "of", "f1", "f2", "sketch", "regions"]
-    placed, among_many = (apart_in_regions(classes, max_region), None) if again else in_regions(classes, max_region)
-    placed = placed.select(*names, key(start_of(F.col("tree")), DEPTHS[-1]).alias("key"))
+    # Of a class's regions only those of earlier trees are asked for.
+    placed = placed.withColumn("regions", F.slice("regions", F.lit(1), F.col("tree"))).select(*names, key(start_of(F.col("tree")), DEPTHS[-1]).alias("key"))
     fields = "region long, tree int, rep long, of long, f1 long, f2 long, sketch binary, regions array<long>, key binary"
 
     def wanted(batches):
@@ -252,7 +274,7 @@ def links_of(docs: DataFrame, classes: DataFrame, percent: int, max_region: int,
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     joined = needs.join(texts, "rep").select(*names, "key", "text")
-    return joined.repartition("region").sortWithinPartitions("region", "key", "rep").mapInArrow(confirm, "u long, v long"), among_many
+    return joined.repartition("region").sortWithinPartitions("region", "key", "rep").mapInArrow(confirm, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, max_region: int = MAX_REGION) -> DataFrame:
@@ -265,13 +287,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, max_region: int = MAX_RE
     same = ["n_shingles", "f1", "f2"]
     with_set = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(with_set.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
-    links, among_many = links_of(docs, classes.withColumn("of", F.col("rep")), percent, max_region)
-    links = cut(links)
+    placed, many = in_regions(classes.withColumn("of", F.col("rep")), max_region)
+    links = cut(links_of(docs, placed, percent))
     found = components(links)
-    if among_many is not None:
-        joined = classes.join(among_many, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("component")
-        more, _ = links_of(docs, cut(joined), percent, max_region, again=True)
-        found = components(links.union(cut(more)))
+
+    def joined(rows):
+        return cut(classes.join(rows, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("component"))
+
+    if many is not None:
+        placed, many = apart_in_regions(joined(many), many, max_region)
+        links = links.union(cut(links_of(docs, placed, percent)))
+        found = components(links)
+    if many is not None:
+        among = joined(many)
+        mixed = mixed_regions(among, many)
+        if not mixed.isEmpty():
+            found = components(links.union(cut(links_of(docs, apart_in_blocks(among, many, mixed, max_region), percent))))
     linked = classes.select(*same, "rep").join(found, F.col("node") == F.col("rep"), "left").select(*same, F.coalesce("component", "rep").alias("_of"))
     return signed.select("doc_id", "content", *same).join(linked, same, "left").select(
         "doc_id", "n_shingles",
