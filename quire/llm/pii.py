@@ -7,8 +7,8 @@ tokens, loose numbers, written-out addresses and account numbers. Trees boosted
 
 Labels come from other facts than the features: a candidate counts as private in training if it is
 given to a password-like name, has an issuer's prefix, is written around an [at], or overlaps a base
-span; the trees see neither names nor prefixes nor base spans. They learn from a sample of documents
-of bounded size, drawn by a hash. On the part of the sample kept for calibration, each kind gets the
+span; the trees see neither names nor prefixes nor base spans. They learn from
+all documents but those that a hash keeps for calibration. On these, each kind gets the
 lowest threshold at which PRECISION of what passes is private, and not more than lets LEAST_RECALL
 of what is private pass. Candidates that pass and overlap no base span become spans of their own
 kinds (`secret`, `number`, `address`), so base kinds count base spans only; of two that overlap, in
@@ -16,7 +16,7 @@ order of their starts, the likelier stays, then the longer.
 
 Edge cases: null and empty texts have no spans. Texts are scanned whole, however long, in linear
 time; offsets are code points, ends exclusive. Repeated rows are judged each; ties go to the earlier
-span. An empty table gives no rows. A sample without both classes teaches nothing; the facts that
+span. An empty table gives no rows. A table without both classes teaches nothing; the facts that
 label candidates decide then. Columns with names used here pass through redact() unharmed.
 """
 
@@ -36,8 +36,8 @@ from quire.llm.common import cut, passing, table
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "address")
-#: The bound on the sample that is learned from, and the precision that calibration asks for.
-MAX_TRAIN_DOCS, PRECISION, LEAST_RECALL, CALIBRATION_SHARE = 20_000, 0.98, 0.99, 0.3
+#: The precision and recall that calibration asks for, and the share of documents that is kept for it.
+PRECISION, LEAST_RECALL, CALIBRATION_SHARE = 0.98, 0.99, 0.3
 TREES, DEPTH, SEED = 12, 3, 11
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -169,12 +169,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def learn(scanned: DataFrame):
-    """The model and each kind's threshold; None if the sample doesn't have both classes."""
-    share = min(1.0, MAX_TRAIN_DOCS / max(1, scanned.count()))
-    sample = scanned.filter(F.col("drawn") < int(share * (1 << 30)))
-    rows = sample.select("drawn", F.explode("further").alias("c")).select(
+    """The model and each kind's threshold, from all candidates of all documents; None if they don't have both classes."""
+    rows = scanned.select("drawn", F.explode("further").alias("c")).select(
         "drawn", "c.kind", F.col("c.sure").cast("double").alias("label"), array_to_vector("c.x").alias("features"), F.pmod(F.xxhash64("drawn"), F.lit(1000)).alias("part"))
-    rows = cut(rows.repartition(8, "drawn").sortWithinPartitions("drawn", "kind"))
+    rows = cut(rows.repartition("drawn").sortWithinPartitions("drawn", "kind"))
     train = rows.filter(F.col("part") >= 1000 * CALIBRATION_SHARE)
     if train.select("label").distinct().count() < 2:
         return None
