@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
 
-from quire.functions.text import CJK, estimate_tokens, sentences
+from quire.functions.text import CJK, estimate_tokens, sentences, trimmed
 
 TARGET, OVERLAP = 512, 64
 LONGEST_WORD = 1000
-TABLE = r"(?m)((?:^\|[^\n]*(?:\n|\z))+)"
+TABLE = r"(?md)((?:^\|[^\n]*(?:\n|\z))+)"  # d: only \n ends a line
 PIECE = "document_id long, page int, paragraph int, place int, line int, text string, tokens long, whole long"
 CHUNK = "document_id long, chunk_index int, page_from int, page_to int, text string, token_count int"
 
@@ -30,7 +30,7 @@ CHUNK = "document_id long, chunk_index int, page_from int, page_to int, text str
 def paragraphs(text: Column) -> Column:
     """Paragraphs and tables of a page, in order."""
     apart = F.regexp_replace(text, TABLE, "\n\n$1\n\n")
-    return F.filter(F.transform(F.split(apart, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\n+|\n+$", ""))), lambda p: p != "")
+    return F.filter(F.transform(F.split(apart, r"\n[ \t]*\n"), lambda p: trimmed(F.regexp_replace(p, r"^\n+|\n+\z", ""))), lambda p: p != "")
 
 
 def wrapped(text: Column, width: Column) -> Column:
@@ -45,7 +45,7 @@ def wrapped(text: Column, width: Column) -> Column:
         lines = F.when(line == done["line"], longer).otherwise(F.concat(done["lines"], F.array(word)))
         return F.struct((done["end"] + F.length(word) + 1).alias("end"), line.alias("line"), lines.alias("lines"))
 
-    return F.aggregate(words, start, add, lambda done: F.filter(F.transform(done["lines"], F.trim), lambda x: x != ""))
+    return F.aggregate(words, start, add, lambda done: F.filter(F.transform(done["lines"], trimmed), lambda x: x != ""))
 
 
 def pieces(pages: DataFrame, target: int = TARGET) -> DataFrame:
