@@ -9,91 +9,73 @@ There are two processors, by request key and by digest, so neither is bound to a
 keeps goes when its time to live is over.
 """
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quire.streaming.ordered import SECOND, InOrder, with_time
+from quire.streaming.ordered import SECOND, InOrder, dealt, with_time
 
 
 class Requests(InOrder):
     """By request key: which upload holds it, and with what digest."""
 
-    WAITING = "at long, id long, digest string, keyed boolean"
-    OUT = ["asked", "time", "at", "id", "holder", "digest", "keyed"]
+    KEY, WAITING, STATE = "asked string", "at long, id long, digest string, keyed boolean", "id long, digest string, until long"
+    OUT = ["asked", "at", "id", "holder", "digest", "keyed"]
     SCHEMA = "asked string, time timestamp, at long, id long, holder long, digest string, keyed boolean"
 
     def __init__(self, ttl_s: int):
         self.ttl = ttl_s * SECOND
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.holder = handle.getValueState("holder", "id long, digest string, until long")
+    def wakes(self, state: tuple) -> int:
+        return state[2]
 
-    def wakes(self) -> int | None:
-        return self.holder.get()[2] if self.holder.exists() else None
-
-    def passed(self, key: tuple, rows: list[tuple], upto: int) -> list[tuple]:
-        import pandas as pd
+    def frame(self, found: list[tuple]) -> pd.DataFrame:
+        out = super().frame(found)
+        out.insert(1, "time", pd.to_datetime(out["at"], unit="us"))
+        return out
 
-        holder, out = self.holder.get() if self.holder.exists() else None, []
+    def passed(self, key: tuple, state: tuple | None, rows: list[tuple], upto: int) -> tuple[tuple | None, list[tuple]]:
+        holder, out = state, []
         for at, upload, digest, keyed in rows:
             if holder is None or at >= holder[2]:
                 holder = (upload, digest, at + self.ttl)
-            out.append((*key, pd.Timestamp(at, unit="us", tz="UTC").tz_localize(None), at, upload, holder[0], holder[1], keyed))
-        if holder is None or holder[2] <= upto or not (rows or self.holder.exists()):
-            self.holder.clear()
-        elif rows and rows[-1][3]:
-            self.holder.update(holder)
-        return out
+            out.append((*key, at, upload, holder[0], holder[1], keyed))
+        kept = holder is not None and holder[2] > upto and (not rows or rows[-1][3])
+        return holder if kept else None, out
 
 
 class Digests(InOrder):
     """By digest: its document, and of the uploads that hold a request key the documents that they were answered with."""
 
-    WAITING = "at long, id long, holder long, keyed boolean"
+    KEY, WAITING = "digest string", "at long, id long, holder long, keyed boolean"
+    STATE = "document long, until long, holders array<bigint>, answers array<bigint>, untils array<bigint>"
     OUT = ["digest", "at", "id", "outcome", "document"]
     SCHEMA = "digest string, at long, id long, outcome string, document long"
 
     def __init__(self, ttl_s: int, request_ttl_s: int):
         self.ttl, self.request_ttl = ttl_s * SECOND, request_ttl_s * SECOND
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.document = handle.getValueState("document", "id long, until long")
-        self.answers = handle.getMapState("answers", "id long", "document long, until long")
-        self.sweep = handle.getValueState("sweep", "at long")
+    def wakes(self, state: tuple) -> int:
+        """When the document is over; after that, when the last answer is."""
+        return state[1] if state[1] is not None else max(state[4])
 
-    def wakes(self) -> int | None:
-        times = [self.document.get()[1] if self.document.exists() else None, self.sweep.get()[0] if self.sweep.exists() else None]
-        return min((t for t in times if t is not None), default=None)
-
-    def passed(self, key: tuple, rows: list[tuple], upto: int) -> list[tuple]:
-        document, out = self.document.get() if self.document.exists() else None, []
+    def passed(self, key: tuple, state: tuple | None, rows: list[tuple], upto: int) -> tuple[tuple | None, list[tuple]]:
+        document, until, *held = state or (None, None, [], [], [])
+        answers, out = {h: (d, t) for h, d, t in zip(*held, strict=True)}, []
         for at, upload, holder, keyed in rows:
             if holder != upload:
-                out.append((*key, at, upload, "replayed", self.answers.getValue((holder,))[0]))
+                out.append((*key, at, upload, "replayed", answers[holder][0]))
                 continue
-            known = document is not None and at < document[1]
+            known = until is not None and at < until
             if not known:
-                document = (upload, at + self.ttl)
+                document, until = upload, at + self.ttl
             if keyed:
-                self.answers.updateValue((upload,), (document[0], at + self.request_ttl))
-                if not self.sweep.exists():
-                    self.sweep.update((at + self.request_ttl,))
-            out.append((*key, at, upload, "deduplicated" if known else "created", document[0]))
-        if document is not None and document[1] > upto:
-            self.document.update(document)
-        else:
-            self.document.clear()
-        if self.sweep.exists() and self.sweep.get()[0] <= upto:  # all answers are looked through once in their time to live
-            untils = [(k, v[1]) for k, v in self.answers.iterator()]
-            for k, until in untils:
-                if until <= upto:
-                    self.answers.removeKey(k)
-            if any(until > upto for _, until in untils):
-                self.sweep.update((upto + self.request_ttl,))
-            else:
-                self.sweep.clear()
-        return out
+                answers[upload] = document, at + self.request_ttl
+            out.append((*key, at, upload, "deduplicated" if known else "created", document))
+        left = [(h, d, t) for h, (d, t) in answers.items() if t > upto]
+        if until is not None and until <= upto:
+            document = until = None
+        return (document, until, *([r[i] for r in left] for i in range(3))) if left or until is not None else None, out
 
 
 def ingest(uploads: DataFrame, delay: str = "1 hour", ttl_s: int = 30 * 86400, request_ttl_s: int = 86400) -> DataFrame:
@@ -101,6 +83,6 @@ def ingest(uploads: DataFrame, delay: str = "1 hour", ttl_s: int = 30 * 86400, r
     or replayed) and the document that it is answered with. Needs the RocksDB state store."""
     asked = F.when(F.col("request_key").isNull(), F.concat(F.lit("upload "), "id")).otherwise(F.concat(F.lit("key "), "request_key"))
     rows = with_time(uploads, "created_at", asked.alias("asked"), "id", F.col("sha256").alias("digest"), F.col("request_key").isNotNull().alias("keyed")).withWatermark("time", delay)
-    held = rows.groupBy("asked").transformWithStateInPandas(statefulProcessor=Requests(request_ttl_s), outputStructType=Requests.SCHEMA, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time")
-    told = held.groupBy("digest").transformWithStateInPandas(statefulProcessor=Digests(ttl_s, request_ttl_s), outputStructType=Digests.SCHEMA, outputMode="Append", timeMode="EventTime")
+    held = dealt(rows, "asked").transformWithStateInPandas(statefulProcessor=Requests(request_ttl_s), outputStructType=Requests.SCHEMA, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time")
+    told = dealt(held, "digest").transformWithStateInPandas(statefulProcessor=Digests(ttl_s, request_ttl_s), outputStructType=Digests.SCHEMA, outputMode="Append", timeMode="EventTime")
     return told.select("id", "at", "outcome", "document")

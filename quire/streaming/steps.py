@@ -21,9 +21,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quire.streaming.ordered import SECOND, InOrder, with_time
+from quire.streaming.ordered import SECOND, InOrder, dealt, values, with_time
 
 COLUMNS = ["document_id", "step", "at", "id", "cause", "status", "attempt", "due"]
 SCHEMA = "document_id long, step string, at long, id long, cause string, status string, attempt int, due long"
@@ -134,41 +133,30 @@ def replay(events: DataFrame, upto: Column, rules: Rules = Rules()) -> DataFrame
 
 
 class StepMachine(InOrder):
-    WAITING = "at long, id long, kind string"
-    OUT, NULLABLE = COLUMNS, {"id": "Int64", "due": "Int64"}
+    KEY, WAITING, STATE = "document_id long, step string", "at long, id long, kind string", "status string, attempt int, changed long, due long"
+    OUT, NULLABLE = COLUMNS, {"document_id": "Int64", "id": "Int64", "due": "Int64"}
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.step = handle.getValueState("step", "status string, attempt int, changed long, due long")
-
-    def current(self) -> Step:
-        return Step(*self.step.get()) if self.step.exists() else Step()
-
-    def wakes(self) -> int | None:
-        return self.current().wakes(self.rules)
+    def wakes(self, state: tuple) -> int | None:
+        return Step(*state).wakes(self.rules)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for r in initialState.itertuples():
-            self.step.update(Step(r.status, int(r.attempt), int(r.at), None if pd.isna(r.due) else int(r.due)))
-            self.wake(self.wakes())
+        rows = initialState.astype({"due": "Int64"})
+        self.begin(list(zip(*self.keys(rows), strict=True)), list(zip(*values(rows, ["status", "attempt", "at", "due"]), strict=True)))
 
-    def passed(self, key: tuple, rows: list[tuple], upto: int) -> list[tuple]:
-        step = self.current()
+    def passed(self, key: tuple, state: tuple | None, rows: list[tuple], upto: int) -> tuple[tuple | None, list[tuple]]:
+        step = Step(*state) if state else Step()
         found = list(changes(step, rows, self.rules))
         found += pass_time(found[-1][3] if found else step, upto, self.rules)
         step = found[-1][3] if found else step
-        if step.changed is None:
-            self.step.clear()
-        else:
-            self.step.update(step)
-        return told(key, found)
+        return None if step.changed is None else step, told(key, found)
 
 
 def step_machine(events: DataFrame, delay: str = "1 hour", rules: Rules = Rules(), initial: DataFrame | None = None) -> DataFrame:
     """Changes of steps on a stream of events (id, document_id, step, event_type, created_at). initial: steps as `replay` leaves
     them (its rows of cause `state`), from which the stream goes on. Needs the RocksDB state store."""
-    keyed = timed(events).withWatermark("time", delay).groupBy("document_id", "step")
-    before = initial.filter("cause = 'state'").groupBy("document_id", "step") if initial is not None else None
+    keyed = dealt(timed(events).withWatermark("time", delay), "document_id", "step")
+    before = dealt(initial.filter("cause = 'state'"), "document_id", "step") if initial is not None else None
     return keyed.transformWithStateInPandas(statefulProcessor=StepMachine(rules), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime", initialState=before)
