@@ -9,15 +9,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.lineage import shared_folder
+
+TASK_BLOBS, TASK_BYTES = 10_000, 64 << 20
+HELD_BLOBS, HELD_BYTES = 200, 8 << 20
 
 # Fixed values, limits on archives: entries, bytes in all, bytes out per byte in, archives within.
 MAX_ENTRIES, MAX_TOTAL, MAX_RATIO, MAX_DEPTH = 500, 1 << 30, 100, 1
 
 
-def scan(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """path, modificationTime, length and content of all blobs below a folder."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modificationTime and length of all blobs below a folder (names that begin with . or _ are left out, as by Spark's file sources; empty ones are not).
+
+    The folders of a level are listed side by side by tasks, which write what they find to the shared folder; the driver learns only
+    whether there is a further level.
+    """
+
+    def entries(parts):
+        from pyarrow import fs
+
+        for pdf in parts:
+            for path in pdf.path:
+                store, base = fs.FileSystem.from_uri(path)
+                infos = [i for i in store.get_file_info(fs.FileSelector(base)) if i.base_name[:1] not in "._"]
+                yield pd.DataFrame({"path": pd.Series([f"{path}/{i.base_name}" for i in infos], dtype=object), "folder": [i.type == fs.FileType.Directory for i in infos],
+                                    "modificationTime": pd.to_datetime([i.mtime_ns for i in infos], utc=True).floor("ms"), "length": [i.size or 0 for i in infos]})
+
+    found, width = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}", 4 * spark.sparkContext.defaultParallelism
+    folders, levels = spark.createDataFrame([(folder.rstrip("/"),)], "path string"), []
+    while not folders.isEmpty():
+        levels.append(f"{found}/{len(levels)}")
+        folders.repartition(width, "path").mapInPandas(entries, "path string, folder boolean, modificationTime timestamp, length long").write.parquet(levels[-1])
+        folders = spark.read.parquet(levels[-1]).filter("folder").select("path")
+    return spark.read.parquet(*levels).filter("not folder").drop("folder")
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modificationTime, length and content of all blobs below a folder; each task reads some TASK_BYTES or TASK_BLOBS of them."""
+
+    def read(parts):
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for pdf in parts:
+            pdf, held, first = pdf.astype({"path": object}), [], 0
+            for i, path in enumerate(pdf.path):
+                with store.open_input_file(fs.FileSystem.from_uri(path)[1]) as blob:
+                    held.append(blob.read())
+                if i + 1 == len(pdf) or sum(map(len, held)) >= HELD_BYTES or len(held) >= HELD_BLOBS:
+                    yield pdf.iloc[first : i + 1].assign(content=held)
+                    held, first = [], i + 1
+
+    files = listed(spark, folder)
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = 1 + max(size.n // TASK_BLOBS, size.bytes // TASK_BYTES)
+    return files.repartition(tasks, "path").mapInPandas(read, "path string, modificationTime timestamp, length long, content binary")
 
 
 def write(rows: DataFrame, folder: str) -> None:
