@@ -3,6 +3,7 @@
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -158,9 +159,18 @@ def expand(archives: DataFrame, max_entries: int = MAX_ENTRIES, max_total: int =
         except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
             yield archive, None, None, "unreadable"
 
-    def run(parts):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in parts:
             for archive, content in zip(pdf.archive, pdf.content, strict=True):
-                yield pd.DataFrame(list(entries(archive, content)), columns=["archive", "name", "content", "problem"])
-
-    return archives.select("archive", "content").mapInPandas(run, "archive string, name string, content binary, problem string")
+                for entry in entries(archive, content):
+                    held.append(entry)
+                    size += len(entry[2] or b"")
+                    if size >= HELD_BYTES:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held, size = [], 0
+        yield pd.DataFrame(held, columns=names, dtype=object)
+
+    names = ["archive", "name", "content", "problem"]
+    # By archive, so that a task holds one and not a batch of them.
+    return archives.select("archive", "content").groupBy("archive").applyInPandas(run, "archive string, name string, content binary, problem string")
