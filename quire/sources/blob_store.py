@@ -5,6 +5,8 @@ large blob is many ranges and so many tasks, and small ones share a task. `rows.
 blob_key, part, content and size, in which a blob's parts follow one another in a task. A key that exists is skipped;
 a blob whose bytes are not of the declared size is rejected; others appear under their key whole, by a move. Each task leaves a
 report of outcomes, which counts once the job is committed; what tasks of a failed job have drafted is removed with it.
+A reader hands on some HELD_BYTES at a time, and a writer takes bytes from Arrow batches as they are and reports outcomes as they come,
+so a worker holds a batch, and nothing that grows with its task.
 
 Both classes are made within a function, so that workers get them by value and need no package.
 """
@@ -16,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RANGE_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+RANGE_BYTES, TASK_BYTES, TASK_RANGES = 8 << 20, 64 << 20, 10_000
+HELD_BYTES, HELD_RANGES = 4 << 20, 1_000
 RANGE = "blob_key string, part int, start long, length long, size long, content binary"
 WRITTEN = "blob_key string, part int, content binary, size long"
 OUTCOME = "blob_key string, outcome string, size long"
@@ -28,7 +31,8 @@ def _sources():
     import uuid
     from dataclasses import dataclass
 
-    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+    import pyarrow as pa
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
     def store_of(path):
         from pyarrow import fs
@@ -51,7 +55,7 @@ def _sources():
                     continue
                 for part, start in enumerate(range(0, max(info.size, 1), self.range_bytes)):
                     length = min(self.range_bytes, info.size - start)
-                    if held and held_bytes + length > self.task_bytes:
+                    if held and (held_bytes + length > self.task_bytes or len(held) == TASK_RANGES):
                         found.append(InputPartition(held))
                         held, held_bytes = [], 0
                     held.append((key, part, start, length, info.size))
@@ -60,10 +64,19 @@ def _sources():
 
         def read(self, partition):
             store, base = store_of(self.path)
+            names, kinds = zip(*(c.split() for c in RANGE.split(", ")), strict=True)
+            schema = pa.schema(list(zip(names, ({"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds), strict=True)))
+            held, held_bytes = [], 0
             for key, part, start, length, size in partition.value:
+                if held and (held_bytes + length > HELD_BYTES or len(held) == HELD_RANGES):
+                    yield pa.record_batch(list(zip(*held, strict=True)), schema=schema)
+                    held, held_bytes = [], 0
                 with store.open_input_file(f"{base}/{key}") as blob:
                     blob.seek(start)
-                    yield key, part, start, length, size, blob.read(length)
+                    held.append((key, part, start, length, size, blob.read(length)))
+                held_bytes += length
+            if held:
+                yield pa.record_batch(list(zip(*held, strict=True)), schema=schema)
 
     class BlobRanges(DataSource):
         @classmethod
@@ -81,24 +94,30 @@ def _sources():
         report: str
         written: int
 
-    class BlobWriter(DataSourceWriter):
+    class BlobWriter(DataSourceArrowWriter):
         def __init__(self, options):
             self.path, self.job = options["path"], options["job"]
 
-        def write(self, rows):
+        def write(self, batches):
             from pyarrow import fs
 
             store, base = store_of(self.path)
             drafts = f"{base}/.drafts/{self.job}"
             store.create_dir(drafts)
-            outcomes, state = [], {}
+            report, state, written = f"{drafts}/report-{uuid.uuid4().hex}", {}, 0
 
             def there(key):
                 return store.get_file_info(f"{base}/{key}").type != fs.FileType.NotFound
 
+            def rows():
+                for batch in batches:
+                    yield from zip(batch.column("blob_key"), batch.column("content"), batch.column("size"), strict=True)
+                    del batch  # not held while the next one is read
+
             def end():
+                """Of a blob: the outcome goes to the report. True if it was written."""
                 if not state:
-                    return
+                    return False
                 if state["out"] is None:
                     outcome = "exists"
                 else:
@@ -109,23 +128,25 @@ def _sources():
                         store.move(state["draft"], f"{base}/{state['key']}")
                     else:
                         store.delete_file(state["draft"])
-                outcomes.append({"blob_key": state["key"], "outcome": outcome, "size": state["bytes"]})
+                told.write((json.dumps({"blob_key": state["key"], "outcome": outcome, "size": state["bytes"]}) + "\n").encode())
                 state.clear()
-
-            for row in rows:
-                if row.blob_key != state.get("key"):
-                    end()
-                    draft = f"{drafts}/{uuid.uuid4().hex}"
-                    state.update(key=row.blob_key, size=row.size, bytes=0, draft=draft, out=None if there(row.blob_key) else store.open_output_stream(draft))
-                if row.content is not None:
-                    state["bytes"] += len(row.content)
-                    if state["out"] is not None:
-                        state["out"].write(bytes(row.content))
-            end()
-            report = f"{drafts}/report-{uuid.uuid4().hex}"
-            with store.open_output_stream(report) as out:
-                out.write("".join(json.dumps(o) + "\n" for o in outcomes).encode())
-            return Reported(report, sum(o["outcome"] == "written" for o in outcomes))
+                return outcome == "written"
+
+            with store.open_output_stream(report) as told:
+                for key, content, size in rows():
+                    key = key.as_py()
+                    if key != state.get("key"):
+                        written += end()
+                        draft = f"{drafts}/{uuid.uuid4().hex}"
+                        state.update(key=key, size=size.as_py(), bytes=0, draft=draft, out=None if there(key) else store.open_output_stream(draft))
+                    if content.is_valid:
+                        data = content.as_buffer()
+                        state["bytes"] += data.size
+                        if state["out"] is not None:
+                            state["out"].write(data)
+                    content = data = None
+                written += end()
+            return Reported(report, written)
 
         def commit(self, messages):
             store, base = store_of(self.path)
