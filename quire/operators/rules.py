@@ -80,13 +80,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def duplicates(tables: Tables, rules: tuple[Unique, ...] = UNIQUE) -> DataFrame:
-    """Keys that more than one row has: rule, value, n. A key with a null in it is no duplicate."""
-    frames = []
+    """Keys that more than one row has: rule, value, n. A key with a null in it is no duplicate.
+
+    As most keys are there once, adding them up before the shuffle would only hold them twice; and they are dealt by number, since the
+    optimiser sizes tasks by compressed bytes, of which keys that are much alike have few.
+    """
+    frames, place = [], {r: i for i, r in enumerate(rules)}
     for table, of in _by_table(rules).items():
         keys = [F.when(F.expr(r.where) & reduce(Column.__and__, [F.col(k).isNotNull() for k in r.keys]),
-                       F.struct(F.lit(name(r)).alias("rule"), F.concat_ws(", ", *[F.col(k).cast("string") for k in r.keys]).alias("value"))) for r in of]
+                       F.struct(F.lit(place[r]).alias("place"), F.concat_ws(", ", *[F.col(k).cast("string") for k in r.keys]).alias("value"))) for r in of]
         frames.append(tables(table).select(F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.*"))
-    return _union(frames).groupBy("rule", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    found = _union(frames)
+    dealt = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "value")
+    many = dealt.groupBy("place", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    return many.select(F.get(F.array(*[F.lit(name(r)) for r in rules]), "place").alias("rule"), "value", "n")
 
 
 def dangling(tables: Tables, rules: tuple[Refers, ...] = REFERS) -> DataFrame:
