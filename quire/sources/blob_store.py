@@ -185,6 +185,19 @@ def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, tas
     return spark.read.format("blob_ranges").option("path", folder).option("range_bytes", range_bytes).option("task_bytes", task_bytes).load()
 
 
+def without_stored(rows: DataFrame, folder: str) -> DataFrame:
+    """rows: blob_key, content and others. Contents whose keys are in the store already become null, so that they need not be shuffled; `put` finds these keys there."""
+
+    @F.pandas_udf("boolean")
+    def there(keys: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        return pd.Series([i.type != fs.FileType.NotFound for i in store.get_file_info([f"{base}/{k}" for k in keys])], dtype=bool)
+
+    return rows.withColumn("content", F.when(~there("blob_key"), F.col("content")))
+
+
 def put(rows: DataFrame, folder: str) -> DataFrame:
     """rows: blob_key, content, size (declared, null: unknown), and part if blobs come in several rows. Writes them, and returns the
     outcome of each key: written, exists or rejected."""

@@ -63,3 +63,11 @@ def test_a_failed_job_leaves_no_drafts_and_no_report(spark, folder):
     assert not os.path.isdir(f"{folder}/.reports") and (not os.path.isdir(f"{folder}/.drafts") or os.listdir(f"{folder}/.drafts") == [])
     # What was whole by then stays: it lies under the key of its content.
     assert told(blob_store.put(rows_of(spark, BLOBS), folder)).keys() == BLOBS.keys()
+
+
+def test_contents_of_stored_blobs_are_not_handed_on(spark, folder):
+    blob_store.put(rows_of(spark, {k: BLOBS[k] for k in ("a/one", "four")}), folder)
+    left = blob_store.without_stored(rows_of(spark, BLOBS), folder)
+    assert {r.blob_key: r.content and bytes(r.content) for r in left.collect()} == {k: None if k in ("a/one", "four") else v for k, v in BLOBS.items()}
+    assert told(blob_store.put(left, folder)) == {"a/one": ("exists", 0), "four": ("exists", 0), "b/three": ("written", 768), "a/two": ("written", 0)}
+    assert blob_store.ranges(spark, folder).filter("blob_key = 'a/one'").first().size == 10_000
